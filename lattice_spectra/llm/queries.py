@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import repeats, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a weighted Jaccard similarity of 0.8 or more."""
+    return weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
+
+
 QUERIES = {
+    "op10_near_duplicates": op10_near_duplicates,
     "op7_remove_repeats": op7_remove_repeats,
 }
