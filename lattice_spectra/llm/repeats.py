@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, materialize, mix64
+from .common import U64, buffers, discard, materialize, mix64
 
 #: Bytes that are named at a time; bounds a worker's memory for texts of any length.
 SLICE = 1 << 18
@@ -234,6 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     )
     by_name = anchors.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("kind").alias("_lo"), F.max("kind").alias("_hi")).where("_n > 1")
     left = materialize(anchors.join(by_name.select("name", (F.col("_lo") == F.col("_hi")).alias("agreed")), "name"), "repeated-anchors")
+    discard(anchors)
     agreed = left.where("agreed").select("doc_id", "text_key", "start", "span")
     differ = left.where("not agreed")
     kinds = differ.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "span")).alias("one"))
@@ -245,8 +246,10 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         long_enough.join(cells, ["doc_id", "text_key"]).mapInArrow(lambda it: _opened(it, length), "doc_id long, text_key long, k1 long, k2 long, start int, copies int"),
         "opened",
     )
-    pairs = opened.groupBy("k1", "k2").agg(F.sum("copies").alias("_n")).where("_n > 1")
-    ended = opened.where("copies = 1").join(pairs.select("k1", "k2"), ["k1", "k2"]).select("doc_id", "text_key", "start", F.lit(0).alias("span"))
+    pairs = materialize(opened.groupBy("k1", "k2").agg(F.sum("copies").alias("_n")).where("_n > 1").select("k1", "k2"), "repeated-pairs")
+    ended = materialize(opened.where("copies = 1").join(pairs, ["k1", "k2"]).select("doc_id", "text_key", "start", F.lit(0).alias("span")), "ends")
+    discard(opened)
+    discard(pairs)
     return agreed.unionByName(copied).unionByName(ended)
 
 
