@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats, weighted_minhash
+from . import packing, repeats, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 1)
+
+
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes go from every document."""
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400)
@@ -22,6 +34,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_pack_documents": op6_pack_documents,
     "op10_near_duplicates": op10_near_duplicates,
     "op7_remove_repeats": op7_remove_repeats,
 }
