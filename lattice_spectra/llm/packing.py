@@ -34,6 +34,7 @@ _SPACE = re.compile(r"\s")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Latin letters that compose and lower-case one by one, then marks without an apostrophe: two words to the tokenizer.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_MARKS = ".,%&$#*!?:;-"
 
 
 class OpenWindows:
@@ -118,8 +119,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.older_letters: dict[str, bytes] = {}
 
     def parts(self, text: str) -> Iterator[list[str]]:
         start = 0
@@ -134,40 +136,48 @@ class WordIds:
     def learn(self, new: set[str]) -> None:
         """Puts the ids of words that aren't in ``known`` there."""
         if len(self.letters) > CACHE:
-            self.letters, self.older = {}, self.letters
-        plain, ask = [], set()
+            self.letters, self.older_letters = {}, self.letters
+        known, letters, older = self.known, self.letters, self.older_letters
+        late, ask = [], set()
         for w in new:
-            m = _PLAIN.fullmatch(w)
-            if m is None:
+            a = w.rstrip(_MARKS)
+            if a.isascii() and a.isalpha():
+                b = w[len(a) :]
+            elif m := _PLAIN.fullmatch(w):
+                a, b = m.groups()
+            else:
+                late.append((w, w, ""))
                 ask.add(w)
                 continue
-            a, b = m.groups()
-            a = a.lower()
-            plain.append((w, a, b))
-            for part in (a, b):
-                if part and part not in self.letters:
-                    if part in self.older:
-                        self.letters[part] = self.older[part]
+            low = a.lower()
+            x, y = letters.get(low), letters.get(b) if b else b""
+            if x is not None and y is not None:
+                known[w] = x + y
+                continue
+            late.append((w, low, b))
+            for part in (low, b):
+                if part and part not in letters:
+                    if part in older:
+                        letters[part] = older[part]
                     else:
                         ask.add(part)
         asked = list(ask)
         got = {w: array("I", e.ids).tobytes() for w, e in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True)} if asked else {}
-        for w, a, b in plain:
-            for part in (a, b):
-                if part in got:
-                    self.letters[part] = got[part]
-            self.known[w] = self.letters[a] + self.letters[b] if b else self.letters[a]
-        for w in new:
-            if w not in self.known:
-                self.known[w] = got[w]
+        for w, low, b in late:
+            for part in (low, b):
+                if part in got and part is not w:
+                    letters[part] = got[part]
+            known[w] = got[w] if w is low else letters[low] + (letters[b] if b else b"")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         split = [None if _ODD.search(t) else list(self.parts(t)) for t in texts]
         new = {w for parts in split if parts for words in parts for w in words}.difference(self.known)
         if new:
-            self.learn(new)
+            again = new.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self.learn(new.difference(again))
         get = self.known.__getitem__
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join([b"".join(map(get, words)) for words in parts]) for t, parts in zip(texts, split, strict=True)]
 

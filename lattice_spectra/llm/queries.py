@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repeats, weighted_minhash
+from . import packing, pieces, repeats, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400)
 
 
+def op8_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to pieces and back."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a weighted Jaccard similarity of 0.8 or more."""
     return weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
@@ -35,6 +40,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_pack_documents": op6_pack_documents,
+    "op8_piece_round_trip": op8_piece_round_trip,
     "op10_near_duplicates": op10_near_duplicates,
     "op7_remove_repeats": op7_remove_repeats,
 }
