@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pieces, repeats, weighted_minhash
+from . import packing, pieces, repeats, sharding, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes; equal texts share a shard."""
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a vocabulary file of the public tokenizers."""
     import public_tokenizers
@@ -39,6 +46,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_shard_documents": op3_shard_documents,
     "op6_pack_documents": op6_pack_documents,
     "op8_piece_round_trip": op8_piece_round_trip,
     "op10_near_duplicates": op10_near_duplicates,
