@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, repeats, sharding, weighted_minhash
+from . import exact_topk, packing, permutation_index, pieces, repeats, sharding, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector."""
+    return exact_topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes; equal texts share a shard."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
@@ -25,6 +30,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op6_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 1)
@@ -46,6 +56,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op5_nearest": op5_nearest,
     "op3_shard_documents": op3_shard_documents,
     "op6_pack_documents": op6_pack_documents,
     "op8_piece_round_trip": op8_piece_round_trip,
