@@ -24,17 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ranked
 
-#: White-space words and letter words whose ids a worker keeps.
-CACHE = 300_000
+#: Words whose ids a worker keeps, twice: those of late and those before.
+CACHE = 400_000
 #: Characters of a text that are split into words at a time, up to the next white space.
 PART = 1 << 21
 #: Runs up to which the placement is broadcast.
 RUNS = 100_000
 _SPACE = re.compile(r"\s")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Latin letters that compose and lower-case one by one, then marks without an apostrophe: two words to the tokenizer.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_MARKS = ".,%&$#*!?:;-"
+#: Between a Latin letter and one of these marks the tokenizer always begins a new word.
+_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,%&$#*!?:;-]")
+_WIDE = re.compile("[^\x00-\xff]")
 
 
 class OpenWindows:
@@ -108,9 +108,11 @@ class WordIds:
 
     The tokenizer's words never cross white space, so a text's ids are those of
     its white-space words in a row. Python's white space is the tokenizer's but
-    for four control characters; texts with those are encoded whole. A new word
-    of plain Latin letters and marks is put together from its letters in lower
-    case and its marks, which the tokenizer treats as words of their own.
+    for four control characters; texts with those are encoded whole. To have
+    fewer distinct words, marks are set apart from the letters before them and
+    texts of the first 256 characters, where it goes letter by letter, are put
+    in lower case, which the tokenizer does as well; texts that may hold a
+    special token are left as they are.
     """
 
     def __init__(self, path: str):
@@ -120,10 +122,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.older_letters: dict[str, bytes] = {}
 
     def parts(self, text: str) -> Iterator[list[str]]:
+        if "<|" not in text:
+            text = _MARK.sub(r" \g<0>", text)
+            if text.isascii() or not _WIDE.search(text):
+                text = text.lower()
         start = 0
         while len(text) - start > PART:
             cut = _SPACE.search(text, start + PART)
@@ -133,51 +137,16 @@ class WordIds:
             start = cut.start()
         yield (text[start:] if start else text).split()
 
-    def learn(self, new: set[str]) -> None:
-        """Puts the ids of words that aren't in ``known`` there."""
-        if len(self.letters) > CACHE:
-            self.letters, self.older_letters = {}, self.letters
-        known, letters, older = self.known, self.letters, self.older_letters
-        late, ask = [], set()
-        for w in new:
-            a = w.rstrip(_MARKS)
-            if a.isascii() and a.isalpha():
-                b = w[len(a) :]
-            elif m := _PLAIN.fullmatch(w):
-                a, b = m.groups()
-            else:
-                late.append((w, w, ""))
-                ask.add(w)
-                continue
-            low = a.lower()
-            x, y = letters.get(low), letters.get(b) if b else b""
-            if x is not None and y is not None:
-                known[w] = x + y
-                continue
-            late.append((w, low, b))
-            for part in (low, b):
-                if part and part not in letters:
-                    if part in older:
-                        letters[part] = older[part]
-                    else:
-                        ask.add(part)
-        asked = list(ask)
-        got = {w: array("I", e.ids).tobytes() for w, e in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True)} if asked else {}
-        for w, low, b in late:
-            for part in (low, b):
-                if part in got and part is not w:
-                    letters[part] = got[part]
-            known[w] = got[w] if w is low else letters[low] + (letters[b] if b else b"")
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         split = [None if _ODD.search(t) else list(self.parts(t)) for t in texts]
-        new = {w for parts in split if parts for words in parts for w in words}.difference(self.known)
+        new = set().union(*[words for parts in split if parts for words in parts]).difference(self.known)
         if new:
             again = new.intersection(self.older)
             self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            self.learn(new.difference(again))
+            ask = list(new.difference(again))
+            self.known.update(zip(ask, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(ask, add_special_tokens=False)), strict=True))
         get = self.known.__getitem__
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join([b"".join(map(get, words)) for words in parts]) for t, parts in zip(texts, split, strict=True)]
 
@@ -205,7 +174,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: i
     for batch in batches:
         rows, start, length, crc, total, ids = [], [], [], [], [], []
         i = 0
-        for group in batched(batch.column("text").to_pylist()):
+        for group in batched(batch.column("text").to_pylist(), 1 << 22):
             for blob in encode(group):
                 blob += end
                 n = len(blob) // 4

@@ -35,6 +35,16 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(near, np.lexsort((near, -own), axis=1), 1)
 
 
+def spread_out(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """Pivots from lifted vectors, each the farthest from those before; copies of one vector give one."""
+    near, chosen = sample @ sample[0], [0]
+    while len(chosen) < min(pivots, len(sample)):
+        i = int(np.argmin(near))
+        chosen.append(i)
+        near = np.maximum(near, sample @ sample[i])
+    return sample[chosen]
+
+
 class PivotFiles:
     """One inverted file for each pivot over the rows of a block."""
 
@@ -103,20 +113,20 @@ def _find(pivots: np.ndarray, norm: float, k: int, prefix: int, part: float, lea
     return find
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256, prefix: int = 64, part: float = 0.1, least: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256, prefix: int = 64, part: float = 0.12, least: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id long, rank int, vec_id long, score double``: each query's nearest found by inner product.
 
-    ``is_query`` is a condition on ``id``. ``pivots`` bounds the sample that the
-    index is fitted on (rows with the least hash of their id); every row is
-    posted. ``part`` of each block's distinct vectors, ``least`` of them at
+    ``is_query`` is a condition on ``id``. The index is fitted on a bounded sample,
+    the 8 * ``pivots`` rows with the least hash of their id, of which it takes
+    the most spread-out as pivots; every row is posted. ``part`` of each block's distinct vectors, ``least`` of them at
     least, is ranked again. Rows with a null id, a null or zero vector, or null
     or non-finite components take no part. Shorter vectors are filled with
     zeros. Equal vectors are one entry of the index; their ids rank by size.
     """
     rows = usable(vectors, id_column, vector).where(F.exists("vec", lambda x: x != 0))
-    picked = [np.array(r["vec"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).select("vec").collect()]
+    picked = [np.array(r["vec"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).select("vec").collect()]
     norm, width = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))), F.max(F.size("vec"))).first()
     width = width or 1
-    chosen = list({v.tobytes(): np.pad(v, (0, width - len(v))) for v in picked}.values())[:pivots] or [np.ones(width)]
-    centre = _lifted(np.array(chosen), norm or 1.0)
-    return search(rows, is_query, _find(centre, norm or 1.0, k, min(prefix, len(chosen)), part, least), k, "double")
+    distinct = list({v.tobytes(): np.pad(v, (0, width - len(v))) for v in picked}.values()) or [np.ones(width)]
+    centre = spread_out(_lifted(np.array(distinct), norm or 1.0), pivots)
+    return search(rows, is_query, _find(centre, norm or 1.0, k, min(prefix, len(centre)), part, least), k, "double")

@@ -34,8 +34,10 @@ VARIATES = 1 << 15
 SHINGLE = 5
 #: Bytes of successive documents that are hashed at a time.
 SLICE = 1 << 19
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 500
+#: Hashed cells of a weighted set's sketch.
+CELLS = 512
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -151,7 +153,6 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf, tables, rows: int) -> It
     for batch in batches:
         at, raw = buffers(batch.column("text"))
         bands: list[np.ndarray | None] = [None] * len(batch)
-        brief: list[bytes | None] = [None] * len(batch)
         for i, hashes, upto in _words(at, raw):
             for j in range(len(upto) - 1):
                 own = hashes[upto[j] : upto[j + 1]]
@@ -162,10 +163,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf, tables, rows: int) -> It
                     for c in range(rows):
                         key = mix64(key + parts[:, c])
                     bands[i + j] = key.view(np.int64)
-                    brief[i + j] = name.astype(np.uint16).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())],
-            names=["doc_id", "node", "bands", "brief"],
+            [batch.column("doc_id"), batch.column("node"), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "node", "bands"],
         )
 
 
@@ -197,20 +197,42 @@ def _verify(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], names=["a", "b", "similarity"])
 
 
-def _alike(least: int):
-    """Pairs of a failed member and another one that share at least so many samples."""
+def _vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return _weights(np.concatenate([h for _, h, _ in _words(np.array([0, len(raw)]), raw)]), idf)
+
+
+def _left_over(threshold: float, idf):
+    """Links of failed members to any member outside their component, as many as join components.
+
+    Weights summed by hashed cell bound a similarity from above, so that only
+    pairs that may reach the threshold are compared in full; none is missed.
+    """
 
     def compare(failed: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": [], "b": []}
+        out_a, out_b = [], []
         if len(failed) and len(members):
-            x = np.stack([np.frombuffer(v, np.uint16) for v in failed.f_brief])
-            y = np.stack([np.frombuffer(v, np.uint16) for v in members.m_brief])
-            nodes, comps = members.m_node.to_numpy(), members.m_comp.to_numpy()
-            for row, node, comp in zip(x, failed.f_node, failed.f_comp, strict=True):
-                hit = ((y == row).sum(axis=1) >= least) & (comps != comp)
-                out["b"] += nodes[hit].tolist()
-                out["a"] += [node] * int(hit.sum())
-        return pd.DataFrame({k: pd.Series(v, dtype="int64") for k, v in out.items()})
+            vectors = {n: _vector(t, idf.value) for n, t in zip([*failed.f_node, *members.m_node], [*failed.f_text, *members.m_text], strict=True)}
+            nodes = members.m_node.to_numpy()
+            cells = np.zeros((len(nodes), CELLS), np.float32)
+            total = np.zeros(len(nodes), np.float32)
+            for i, n in enumerate(nodes):
+                cells[i] = np.bincount((vectors[n][0] >> U64(55)).astype(np.int64), vectors[n][1], CELLS)
+                total[i] = cells[i].sum()
+            comp, own = members.m_comp.to_numpy().copy(), failed.f_comp.to_numpy().copy()
+            for i, node in enumerate(failed.f_node):
+                other = np.flatnonzero(comp != own[i])
+                mine = np.bincount((vectors[node][0] >> U64(55)).astype(np.int64), vectors[node][1], CELLS).astype(np.float32)
+                least = np.minimum(cells[other], mine).sum(axis=1)
+                near = other[least >= (threshold - 1e-3) * (total[other] + mine.sum() - least)]
+                for j in near:
+                    if comp[j] != own[i] and similarity(vectors[node], vectors[nodes[j]]) >= threshold:
+                        out_a.append(node)
+                        out_b.append(nodes[j])
+                        old, new = own[i], comp[j]
+                        comp[comp == old] = new
+                        own[own == old] = new
+        return pd.DataFrame({"a": pd.Series(out_a, dtype="int64"), "b": pd.Series(out_b, dtype="int64")})
 
     return compare
 
@@ -227,7 +249,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     idf = spark.sparkContext.broadcast(word_idf(body))
     tables = spark.sparkContext.broadcast(_variates(bands * rows))
-    signed = materialize(body.mapInArrow(lambda it: _signatures(it, idf, tables, rows), "doc_id long, node long, bands array<long>, brief binary"), "signatures")
+    signed = materialize(body.mapInArrow(lambda it: _signatures(it, idf, tables, rows), "doc_id long, node long, bands array<long>"), "signatures")
 
     members = signed.select("node", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a <> _z").select("band", "a")
@@ -252,22 +274,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
 
     # Failures meet all others of their band that aren't in their component yet.
     lost = star.join(failed, ["a", "b"]).select("band", F.col("b").alias("node")).distinct()
-    briefs = signed.select("node", "brief").dropDuplicates(["node"])
 
     def detailed(rows_: DataFrame) -> DataFrame:
-        return rows_.join(briefs, "node").join(comps, "node", "left").select("band", "node", "brief", F.coalesce("comp", "node").alias("comp"))
+        return rows_.join(texts, "node").join(comps, "node", "left").select("band", "node", "text", F.coalesce("comp", "node").alias("comp"))
 
     whole = star.join(lost.select("band").distinct(), "band", "left_semi").select("band", F.col("b").alias("node"))
-    sizes = whole.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).join(lost.groupBy("band").agg(F.count(F.lit(1)).alias("_f")), "band").select("band", F.ceil(F.col("_m") / BLOCK).alias("_mb"), F.ceil(F.col("_f") / BLOCK).alias("_fb"))
+    sizes = whole.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).join(lost.groupBy("band").agg(F.count(F.lit(1)).alias("_f")), "band").where("_m > 1").select("band", F.ceil(F.col("_m") / BLOCK).alias("_mb"), F.ceil(F.col("_f") / BLOCK).alias("_fb"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    left = detailed(lost).join(sizes, "band").withColumn("_fi", F.pmod(F.xxhash64("node"), F.col("_fb")).cast("int")).withColumn("_mi", every("_mb"))
-    right = detailed(whole).join(sizes, "band").withColumn("_mi", F.pmod(F.xxhash64("node"), F.col("_mb")).cast("int")).withColumn("_fi", every("_fb"))
+    left = detailed(lost.join(sizes, "band").select("band", "node")).join(sizes, "band").withColumn("_fi", F.pmod(F.xxhash64("node"), F.col("_fb")).cast("int")).withColumn("_mi", every("_mb"))
+    right = detailed(whole.join(sizes, "band").select("band", "node")).join(sizes, "band").withColumn("_mi", F.pmod(F.xxhash64("node"), F.col("_mb")).cast("int")).withColumn("_fi", every("_fb"))
     keys = ["band", "_fi", "_mi"]
-    named_apart = lambda df, side: df.select(*[F.col(c).alias(side + c) for c in [*keys, "node", "brief", "comp"]]).groupBy(*[side + c for c in keys])
-    # a pair at the threshold shares a sample with its probability; fewer than 30 % of them happens once in 10^8
-    again = named_apart(left, "f_").cogroup(named_apart(right, "m_")).applyInPandas(_alike(int(0.3 * bands * rows) + 1), "a long, b long")
-    again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(again).where(F.col("similarity") >= threshold).select("a", "b")
+    named_apart = lambda df, side: df.select(*[F.col(c).alias(side + c) for c in [*keys, "node", "text", "comp"]]).groupBy(*[side + c for c in keys])
+    more = named_apart(left, "f_").cogroup(named_apart(right, "m_")).applyInPandas(_left_over(threshold, idf), "a long, b long")
     groups = components(links.unionByName(more))
 
     named = signed.select("doc_id", "node").join(groups, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
