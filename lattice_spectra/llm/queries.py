@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, packing, permutation_index, pieces, repeats, sharding, weighted_minhash
+from . import exact_topk, packing, permutation_index, pieces, repeats, sharding, toxicity, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.3)
+
+
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes; equal texts share a shard."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
@@ -58,6 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op5_nearest": op5_nearest,
+    "op2_toxicity": op2_toxicity,
     "op3_shard_documents": op3_shard_documents,
     "op6_pack_documents": op6_pack_documents,
     "op8_piece_round_trip": op8_piece_round_trip,
