@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, packing, permutation_index, pieces, repeats, sharding, toxicity, weighted_minhash
+from . import exact_topk, language_id, packing, permutation_index, pieces, repeats, sharding, toxicity, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
@@ -62,6 +67,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op4_language": op4_language,
     "op5_nearest": op5_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_shard_documents": op3_shard_documents,
