@@ -190,11 +190,11 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         score = np.zeros(len(batch))
         letters = np.asarray(batch.column("_letters").to_pylist(), bool)
         if reader and len(batch):
-            p = reader(*buffers(batch.column("text")))
+            p = reader(*buffers(batch.column("_body")))
             best = p.argmax(axis=1)
             lang = np.where(letters, np.array(net.languages, object)[best], "und")
             score = np.where(letters, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
-        names = [n for n in batch.schema.names if n not in ("text", "_letters")]
+        names = [n for n in batch.schema.names if n not in ("_body", "_letters")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
 
@@ -206,8 +206,8 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, text.alias("text"), text.rlike("\\p{L}").alias("_letters"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "_letters"))
+    rows = docs.select(*keep, text.alias("_body"), text.rlike("\\p{L}").alias("_letters"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_body", "_letters"))
     return rows.mapInArrow(lambda it: _predict(it, shared), f"{fields}, lang_pred string, score double")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, packing, permutation_index, pieces, repeats, sharding, toxicity, weighted_minhash
+from . import exact_topk, language_id, packing, pages, permutation_index, pieces, repeats, sharding, toxicity, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op4_language": op4_language,
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_shard_documents": op3_shard_documents,
     "op6_pack_documents": op6_pack_documents,
     "op8_piece_round_trip": op8_piece_round_trip,
+    "op9_main_text": op9_main_text,
     "op10_near_duplicates": op10_near_duplicates,
     "op7_remove_repeats": op7_remove_repeats,
 }

@@ -259,22 +259,20 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for batch in batches:
         score = np.zeros(len(batch))
         i = 0
-        for group in batched(batch.column("text").to_pylist(), 1 << 21):
+        for group in batched(batch.column("_body").to_pylist(), 1 << 21):
             if scorer:
                 hits, n = scorer(group)
                 score[i : i + len(group)] = model.score(np.array(hits, float), np.array(n, float))
             i += len(group)
-        names = [n for n in batch.schema.names if n != "text"]
+        names = [n for n in batch.schema.names if n != "_body"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` of every row's whole text, also of null (as empty) and empty ones; 0 without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or "text" in keep)
-    if "text" in keep:
-        raise ValueError("text can't be kept")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_body"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_body")
     return rows.mapInArrow(lambda it: _score(it, shared), f"{fields}, score double")
 
 
