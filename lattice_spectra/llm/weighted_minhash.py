@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, materialize, mix64
@@ -183,17 +183,12 @@ def _verify(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
         a = np.asarray(batch.column("a"))
         at, raw = buffers(batch.column("text_a"))
         sims = np.zeros(len(batch))
-        side = {}
-        bt, braw = buffers(batch.column("text_b"))
-        for i, hashes, upto in _words(bt, braw):
-            for j in range(len(upto) - 1):
-                own = hashes[upto[j] : upto[j + 1]]
-                side[i + j] = own
-        for i in range(len(batch)):
-            if last is None or last[0] != a[i]:
-                whole = [h for _, h, _ in _words(at[i : i + 2], raw)]
-                last = (int(a[i]), _weights(np.concatenate(whole), idf.value))
-            sims[i] = similarity(last[1], _weights(side.pop(i), idf.value))
+        for first, hashes, upto in _words(*buffers(batch.column("text_b"))):
+            for i in range(first, first + len(upto) - 1):
+                if last is None or last[0] != a[i]:
+                    whole = [h for _, h, _ in _words(at[i : i + 2], raw)]
+                    last = (int(a[i]), _weights(np.concatenate(whole), idf.value))
+                sims[i] = similarity(last[1], _weights(hashes[upto[i - first] : upto[i - first + 1]], idf.value))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], names=["a", "b", "similarity"])
 
 
@@ -237,14 +232,8 @@ def _left_over(threshold: float, idf):
     return compare
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
-    """``doc_id, class_id, class_size``: one row per row of ``docs``.
-
-    ``class_id`` is the least doc_id of the document's group. Rows with one text
-    are one group; a text without words is linked to nothing else. Null texts
-    count as empty. Null ids are ignored for ``class_id`` unless all are null.
-    Texts are told apart by a 64-bit hash.
-    """
+def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``doc_id, node, comp``: each row's text hash and the least text hash of its group."""
     spark: SparkSession = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     idf = spark.sparkContext.broadcast(word_idf(body))
@@ -286,8 +275,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
     keys = ["band", "_fi", "_mi"]
     named_apart = lambda df, side: df.select(*[F.col(c).alias(side + c) for c in [*keys, "node", "text", "comp"]]).groupBy(*[side + c for c in keys])
     more = named_apart(left, "f_").cogroup(named_apart(right, "m_")).applyInPandas(_left_over(threshold, idf), "a long, b long")
-    groups = components(links.unionByName(more))
+    groups = components(links.unionByName(more.distinct()))
+
+    return signed.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
 
-    named = signed.select("doc_id", "node").join(groups, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+    """``doc_id, class_id, class_size``: one row per row of ``docs``.
+
+    ``class_id`` is the least doc_id of the document's group. Rows with one text
+    are one group; a text without words is linked to nothing else. Null texts
+    count as empty. Null ids are ignored for ``class_id`` unless all are null.
+    Texts are told apart by a 64-bit hash.
+    """
+    named = materialize(_grouped(docs, threshold, bands, rows), "grouped")
     classes = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "comp").select("doc_id", "class_id", "class_size")
+
+
+def deduplicate(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id (nulls last), of its texts the least hash."""
+    last = F.lit(2**63 - 1)
+    named = _grouped(docs, threshold, bands, rows)
+    kept = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), "node")).alias("_k")).select("_k._id", F.col("_k.node").alias("_node"))
+    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = Window.partitionBy("_id", "_node").orderBy(F.lit(0))
+    return marked.join(kept, ["_id", "_node"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
