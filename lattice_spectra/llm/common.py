@@ -51,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
