@@ -1,10 +1,512 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries: each takes ``(spark, sf_dir)`` and returns its result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import scalars
+from ..operators import artefacts, bound, compare, distance, inference, knn, laplacian, localize, plotdata, predictor, profile, resample, spectrum
+from ..sources import nodes as sources
+from .sql import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+K = 6
+
+
+def _r(column: str, digits: int = 9, alias: str | None = None):
+    """Rounded, so that two engines' sums agree; minus zero becomes zero."""
+    return (F.round(column, digits) + F.lit(0.0)).alias(alias or column)
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return sources.customers(s, d)
+
+
+def _knn(s: SparkSession, d: str) -> DataFrame:
+    return knn.knn_geographic(_nodes(s, d), K)
+
+
+def _weights(s: SparkSession, d: str) -> DataFrame:
+    return knn.adjacency(_knn(s, d))[0]
+
+
+def _laplacian(s: SparkSession, d: str) -> DataFrame:
+    return laplacian.symmetric_normalised(_weights(s, d), _nodes(s, d))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return spectrum.spectral_decomposition(_laplacian(s, d))
+
+
+def _with_y(s: SparkSession, d: str) -> DataFrame:
+    return _nodes(s, d).where("y is not null")
+
+
+def _table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _mode(s: SparkSession, d: str) -> DataFrame:
+    """Customers' balances as one mode of their nation."""
+    return _nodes(s, d).select("network", F.lit(0).alias("mode"), "node_id", F.col("x1").alias("psi"))
+
+
+def _spec(s: SparkSession, d: str) -> DataFrame:
+    """Customers as eigenvalues and participations of their nation, which SQL can check."""
+    w = Window.partitionBy("network")
+    return _nodes(s, d).select("network", (F.row_number().over(w.orderBy("node_id")) - 1).alias("mode"), (F.col("lat") * 10 + F.col("x1") / 100000).alias("lambda"), ((F.abs("x1") + 1) / 20000).alias("ipr"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+def _similar(s: SparkSession, d: str) -> DataFrame:
+    """Nations' similarities by their balances."""
+    own = distance.distances(_nodes(s, d).select("network", F.col("x1").alias("v")))
+    return own.select("a", "b", F.exp(-5.0 * F.col("wasserstein") / 10000).alias("s"))
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "nation").where(F.col("n_regionkey").isin(0, 1)).select(F.col("n_nationkey").alias("name"), F.when(F.col("n_regionkey") == 0, "A").otherwise("B").alias("grp"))
+
+
+def _curve(s: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("network").orderBy(F.desc(F.abs("x1")), "node_id")
+    square = F.col("x1") * F.col("x1")
+    share = F.sum(square).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum(square).over(Window.partitionBy("network"))
+    return _nodes(s, d).select("network", F.row_number().over(order).alias("k"), share.alias("r2"))
+
+
+def haversine_pairs(s, d):
+    return knn.pairs_geographic(_nodes(s, d)).select("network", "src", "dst", _r("d", 6))
+
+
+def knn_geo_edges(s, d):
+    return _knn(s, d).select("network", "src", "dst", _r("d", 6), "rk")
+
+
+def knn_geo_grid(s, d):
+    return knn.knn_geographic(_nodes(s, d), K, method="grid").select("network", "src", "dst", _r("d", 6), "rk")
+
+
+def knn_feature_edges(s, d):
+    return knn.knn_feature(sources.embeddings(s, d), K).select("network", "src", "dst", _r("d"), "rk")
+
+
+def sigma_auto(s, d):
+    return knn.sigma_auto(_knn(s, d)).select("network", _r("sigma", 6))
+
+
+def rbf_weights(s, d):
+    near = _knn(s, d)
+    return near.join(knn.sigma_auto(near), "network").select("network", "src", "dst", _rounded(scalars.rbf(F.col("d"), F.col("sigma")), 9, "w"))
+
+
+def _rounded(column, digits: int, alias: str):
+    return (F.round(column, digits) + F.lit(0.0)).alias(alias)
+
+
+def sym_adjacency(s, d):
+    return _weights(s, d).select("network", "src", "dst", _r("w"))
+
+
+def degree(s, d):
+    return laplacian.degree(_weights(s, d)).select("network", "src", _r("deg"))
+
+
+def lap_unnorm(s, d):
+    return laplacian.unnormalised(_weights(s, d)).select("network", "src", "dst", _r("v"))
+
+
+def lap_sym(s, d):
+    return _laplacian(s, d).select("network", "src", "dst", _r("v"))
+
+
+def knn_out_of_sample(s, d):
+    own = _nodes(s, d)
+    return knn.knn_between(own.where("x2 > 10"), own.where("coalesce(x2, 0) <= 10"), K).select("network", "src", "dst", _r("d", 6), "rk")
+
+
+def eigs_moments(s, d):
+    return _pairs(s, d).groupBy("network").agg(_rounded(F.sum("lambda"), 6, "m1"), _rounded(F.sum(F.col("lambda") * F.col("lambda")), 6, "m2"))
+
+
+def eigs_cube_moment(s, d):
+    return _pairs(s, d).groupBy("network").agg(_rounded(F.sum(F.col("lambda") * F.col("lambda") * F.col("lambda")), 6, "m3"))
+
+
+def eigs_feature_moments(s, d):
+    own = sources.embeddings(s, d)
+    w, _ = knn.build_graph(own, "feature", K)
+    pairs = spectrum.spectral_decomposition(laplacian.symmetric_normalised(w, own))
+    return pairs.groupBy("network").agg(_rounded(F.sum("lambda"), 6, "m1"), _rounded(F.sum(F.col("lambda") * F.col("lambda")), 6, "m2"))
+
+
+def eigs_partial(s, d):
+    return spectrum.spectral_decomposition(_laplacian(s, d), 1, "smallest").select("network", "mode", _rounded(F.abs("lambda"), 6, "lambda"))
+
+
+def eigs_both_ends(s, d):
+    return spectrum.spectral_decomposition(_laplacian(s, d), 2, "both").select("network", "mode", _r("lambda", 6))
+
+
+def ipr_modes(s, d):
+    return spectrum.ipr_long(_mode(s, d)).select("network", _r("ipr"))
+
+
+def pr_modes(s, d):
+    return spectrum.ipr_long(_mode(s, d)).select("network", _r("pr"))
+
+
+def ipr_trivial_mode(s, d):
+    return spectrum.spectrum(spectrum.spectral_decomposition(_laplacian(s, d), 1)).select("network", _r("ipr"))
+
+
+def dirichlet(s, d):
+    return laplacian.dirichlet_energy(_weights(s, d), _nodes(s, d).select("network", "node_id", F.col("x1").alias("y"))).select("network", _r("energy"))
+
+
+def rayleigh(s, d):
+    return laplacian.rayleigh(_laplacian(s, d), _nodes(s, d).select("network", "node_id", F.col("x1").alias("y"))).select("network", _r("energy"))
+
+
+def dirichlet_by_modes(s, d):
+    """The same quotient from eigenpairs: eigenvalues weighed by squared coefficients."""
+    y = _nodes(s, d).select("network", "node_id", scalars.centred("x1", ["network"]).alias("y"))
+    own = _pairs(s, d)
+    dots = spectrum.modes_long(own).join(y, ["network", "node_id"]).groupBy("network", "mode").agg(F.sum(F.col("psi") * F.col("y")).alias("c"))
+    both = dots.join(own.select("network", "mode", "lambda"), ["network", "mode"])
+    return both.groupBy("network").agg(_rounded(F.sum(F.col("lambda") * F.col("c") * F.col("c")) / F.sum(F.col("c") * F.col("c")), 6, "energy"))
+
+
+def level_spacing(s, d):
+    return spectrum.level_spacing(_spec(s, d)).select("network", "position", _r("r"))
+
+
+def r2_single_feature(s, d):
+    return bound.r2_single(_with_y(s, d), "x1").select("network", _r("r2"))
+
+
+def r2_subspace(s, d):
+    own = _with_y(s, d).select("network", "node_id", "x1", "x2", "y")
+
+    def solve(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"network": [frame.network.iloc[0]], "r2": [bound.r2_subspace(frame[["x1", "x2"]].to_numpy(), frame.y.to_numpy())]})
+
+    return own.groupBy("network").applyInPandas(solve, "network int, r2 double").select("network", _r("r2"))
+
+
+def r2_full_basis(s, d):
+    values = _nodes(s, d).select("network", "node_id", F.col("x1").alias("y"))
+    return bound.r2_orthonormal(spectrum.modes_long(_pairs(s, d)), values).select("network", _r("r2", 6))
+
+
+def spectral_bound(s, d):
+    own = _nodes(s, d).select("network", "node_id", (F.col("lat") * 10 + F.col("x1") / 100000).alias("f"), F.col("x1").alias("y"))
+    found = bound.spectral_bound(own, spectrum.spectral_decomposition(_laplacian(s, d), 1), ["f"], 1)
+    return found.select("network", _r("r2_imd"), _r("r2_spectral_only"), _r("r2_augmented"), _r("delta_r2"), "k", "n_imd_features")
+
+
+def augment_wide(s, d):
+    modes = spectrum.modes_long(spectrum.spectral_decomposition(_laplacian(s, d), 1))
+    return bound.augment_features(_nodes(s, d), modes, 1).select("network", "node_id", _r("mode_0", 6))
+
+
+def _bound_nodes(s, d):
+    return _nodes(s, d).select("network", "node_id", "lat", "lng", (F.col("lat") * 10 + F.col("x1") / 100000).alias("f"), F.col("x1").alias("y"))
+
+
+def select_k_fixed(s, d):
+    return bound.select_k(_bound_nodes(s, d), _pairs(s, d), "fixed").select("network", "k")
+
+
+def select_k_ratio(s, d):
+    return bound.select_from_curve(_curve(s, d), "ratio").select("network", F.col("k").cast("int").alias("k"))
+
+
+def select_k_elbow(s, d):
+    return bound.select_from_curve(_curve(s, d), "elbow").select("network", "k")
+
+
+def select_k_modes(s, d):
+    return bound.select_k(_bound_nodes(s, d), _pairs(s, d), "elbow", ["f"])
+
+
+def ceiling_curve(s, d):
+    return plotdata.ceiling_data(_bound_nodes(s, d), _pairs(s, d).persist(), ["f"])
+
+
+def bottleneck_modes(s, d):
+    return localize.bottleneck_modes(_spec(s, d)).select("network", "zone_rank", "mode", _r("ipr"))
+
+
+def bottleneck_nodes(s, d):
+    return localize.bottleneck_nodes(_mode(s, d)).select("network", "node_id", _r("mass"))
+
+
+def extended_fraction(s, d):
+    return localize.extended_fraction(_spec(s, d)).select("network", _r("extended_fraction"))
+
+
+def bottleneck_zones(s, d):
+    pairs = spectrum.spectral_decomposition(_laplacian(s, d), 1)
+    return localize.bottleneck_zones(_nodes(s, d), pairs, spectrum.spectrum(pairs), 1, low_frequency=1).select("network", "zone_rank", "mode", "node_id", _r("lat"), _r("lng"), _r("mass", 6))
+
+
+def bottleneck_zones_nested(s, d):
+    pairs = _pairs(s, d).persist()
+    return localize.zones_nested(localize.bottleneck_zones(_nodes(s, d), pairs, spectrum.spectrum(pairs), 5))
+
+
+def profile_summary(s, d):
+    own = sources.customers(s, d, "n_regionkey").select("network", "node_id", "lat", "lng", "x1", F.coalesce("y", F.lit(0.0)).alias("y"))
+    return profile.profiles(own).summary(["x1"])
+
+
+def profile_checked(s, d):
+    own = profile.profiles(_nodes(s, d).withColumn("y", F.coalesce("y", F.lit(0.0)))).summary()
+    return own.select("network", "n", _r("sigma", 6), "k_nn", "graph_type", _rounded(F.abs("lambda_min"), 6, "lambda_min"), "has_features", "has_target")
+
+
+def statistics(s, d):
+    return profile.statistics(_spec(s, d)).select("network", "n", _r("mean_ipr"), _r("median_ipr"), _r("ipr_max"), _r("lambda_min"), _r("lambda_max"))
+
+
+def _balances(s, d):
+    return distance.distances(_nodes(s, d).select("network", F.col("x1").alias("v")))
+
+
+def wasserstein_pairs(s, d):
+    return _balances(s, d).select("a", "b", _r("wasserstein", 6))
+
+
+def ks_pairs(s, d):
+    return _balances(s, d).select("a", "b", _r("ks"))
+
+
+def compare_networks(s, d):
+    return compare.compare_networks(_spec(s, d)).select("a", "b", "n_a", "n_b", *[_r(c) for c in ("wasserstein_eigvals", "wasserstein_ipr", "ks_eigvals", "ks_ipr", "spectral_similarity")])
+
+
+def compare_spectra(s, d):
+    return compare.compare_networks(profile.spectra(_nodes(s, d)))
+
+
+def similarity_matrix(s, d):
+    return compare.similarity_matrix(_spec(s, d)).select("a", "b", _r("s"))
+
+
+def similarity_wide(s, d):
+    return compare.wide_matrix(compare.similarity_matrix(_spec(s, d)), list(range(25)))
+
+
+def multiscale(s, d):
+    return compare.multiscale(_spec(s, d)).select("a", "b", "band", _r("wasserstein"), _r("similarity"))
+
+
+def multiscale_matrix(s, d):
+    return compare.multiscale_matrix(_spec(s, d)).select("band", "a", "b", _r("s"))
+
+
+def band_split(s, d):
+    spec = _spec(s, d)
+    return compare.banded(spec, compare.bands_table(spec)).groupBy("network", "band").agg(F.count(F.lit(1)).alias("n"), _rounded(F.sum("v"), 9, "v"))
+
+
+def subsample_sizes(s, d):
+    return resample.subsample(_nodes(s, d)).groupBy("network").agg(F.count(F.lit(1)).alias("n"))
+
+
+def matched_sizes(s, d):
+    return resample.matched(_nodes(s, d), 40).groupBy("network").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bootstrap_ci(s, d):
+    own = sources.customers(s, d, "n_regionkey").select("network", "node_id", "lat", "lng")
+    return resample.intervals(resample.bootstrap_similarities(own, 20))
+
+
+def bootstrap_intervals(s, d):
+    raw = _table(s, d, "orders").join(_nodes(s, d), F.col("o_custkey") == F.col("node_id")).select(F.lit(0).alias("a"), (F.col("network") + 1).alias("b"), F.col("o_totalprice").alias("s"))
+    return resample.intervals(raw).select("a", "b", *[_r(c, 6) for c in ("median", "lower", "upper", "ci_width")])
+
+
+def block_contrast(s, d):
+    return inference.block_contrast(_similar(s, d), _groups(s, d)).select(*[_r(c) for c in ("within_a", "within_b", "between", "contrast")])
+
+
+def _permuted(s, d, parity=False):
+    nation = {r["name"]: r["grp"] for r in _groups(s, d).collect()}
+    return inference.permutation_test(_similar(s, d), sorted(k for k, g in nation.items() if g == "A"), sorted(k for k, g in nation.items() if g == "B"), 500, parity=parity)
+
+
+def permutation_test(s, d):
+    return _permuted(s, d)
+
+
+def permutation_observed(s, d):
+    return _permuted(s, d, True).select(_r("observed"), "n_perm")
+
+
+def block_similarity_diag(s, d):
+    return inference.block_similarity(_similar(s, d), _groups(s, d)).select(*[_r(c) for c in ("within_a", "within_b", "between", "contrast")])
+
+
+def mantel_spearman(s, d):
+    own = _similar(s, d)
+    return inference.mantel_spearman(own, own.withColumn("s", F.round("s", 2))).select(_r("rho"), "n")
+
+
+def top_bottom_pairs(s, d):
+    return inference.top_and_bottom(_similar(s, d)).select("end", "rank", "a", "b", _r("s"))
+
+
+def verdicts(s, d):
+    rows = _table(s, d, "nation").select(F.col("n_nationkey").alias("recipe"), (F.col("n_nationkey") / 25).alias("rho"), (F.col("n_regionkey") / 40).alias("contrast"))
+    return inference.verdicts(rows)
+
+
+RECIPES = (("A", 40, None, 6), ("B", None, 500.0, 6), ("C", None, None, 20), ("D", None, 500.0, 15))
+
+
+def control_sweep(s, d):
+    """Similarities under each recipe (matched size, width, neighbours) against the plain ones."""
+    own = _nodes(s, d).select("network", "node_id", "lat", "lng")
+    base = compare.compare_networks(profile.spectra(own)).select("a", "b", F.col("spectral_similarity").alias("s")).persist()
+    whole = None
+    for name, size, sigma, k in RECIPES:
+        part = own if size is None else resample.matched(own, size)
+        one = compare.compare_networks(profile.spectra(part, k_nn=k, sigma=sigma)).select(F.lit(name).alias("recipe"), "a", "b", F.col("spectral_similarity").alias("s"))
+        whole = one if whole is None else whole.unionByName(one)
+    whole = whole.persist()
+    rho = inference.mantel_spearman(base, whole, ["recipe"])
+    blocks = inference.block_similarity(whole, _groups(s, d), ["recipe"]).select("recipe", "contrast")
+    return inference.verdicts(rho.join(blocks, "recipe"))
+
+
+def kfold_sizes(s, d):
+    return predictor.kfold(_nodes(s, d)).groupBy("network", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nystrom_extend(s, d):
+    own = _nodes(s, d)
+    known = own.where("coalesce(x2, 0) <= 10")
+    near = knn.knn_between(own.where("x2 > 10"), known, K)
+    modes = known.select("network", F.lit(0).alias("mode"), "node_id", F.col("x1").alias("psi"))
+    return predictor.nystrom_extend(modes, near, own.select("network").distinct().withColumn("sigma", F.lit(500.0))).select("network", "node_id", _r("psi", 6))
+
+
+def _cv(protocol):
+    def query(s, d):
+        own = _with_y(s, d).select("network", "node_id", "lat", "lng", (F.col("x1") / 10000).alias("x1"), "x2", (F.col("y") / 100000).alias("y"))
+        return predictor.cross_validate(own, ["x1", "x2"], 8, protocol=protocol)[0]
+
+    return query
+
+
+def cv_estimator(s, d):
+    """An ML estimator on the regions' networks, one model for each network and fold."""
+    own = sources.customers(s, d, "n_regionkey").where("y is not null").select("network", "node_id", "lat", "lng", (F.col("x1") / 10000).alias("x1"), (F.col("y") / 100000).alias("y"))
+    from pyspark.ml.regression import LinearRegression
+
+    model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=0.01, solver="normal")
+    return predictor.cv_summary(predictor.cross_validate(own.where("network = 0"), ["x1"], 4, 2, estimator=model)[0])
+
+
+def ridge_fit(s, d):
+    return predictor.ridge_fit(_with_y(s, d), ["x1"], 1.0).select("network", _r("intercept", 4), _rounded(F.col("coefficients")[0], 6, "slope"))
+
+
+def r2_score(s, d):
+    return predictor.r2_score(_with_y(s, d).withColumn("yhat", 140000 + F.col("x1")), ["network"]).select("network", _r("r2", 6))
+
+
+def station_load(s, d):
+    features = _table(s, d, "customer").select(F.col("c_custkey").alias("station_id"), F.col("c_acctbal").alias("x1"))
+    demand = _table(s, d, "orders").select(F.col("o_custkey").alias("station_id"), F.log1p("o_totalprice").alias("v"))
+    return sources.station_table(features, demand, "station_id", "v", ["x1"], 6).select("station_id", _r("x1", 6), _rounded(F.col("y") + 0.00013, 3, "y"))
+
+
+def zfill_ids(s, d):
+    return _table(s, d, "part").select("p_partkey", sources.zero_filled("p_partkey").alias("id"))
+
+
+def size_gate(s, d):
+    return knn.node_count(_nodes(s, d)).where("n >= 60")
+
+
+def _scaled(make):
+    return lambda s, d: _nodes(s, d).select("network", "node_id", _rounded(make("x1", ["network"]), 9, "z"))
+
+
+def centre(s, d):
+    return _nodes(s, d).select("network", "node_id", _rounded(scalars.centred("x1", ["network"]), 6, "z"))
+
+
+def hist_density(s, d):
+    return plotdata.histogram(_nodes(s, d).select("network", F.col("x1").alias("v")), ["network"]).select("network", "bin", _r("left", 6), _r("width", 6), _r("density"))
+
+
+def bottleneck_map(s, d):
+    return plotdata.bottleneck_map_data(_nodes(s, d), _mode(s, d)).select("network", "node_id", _r("lng"), _r("lat"), _r("mass"), "position")
+
+
+def spectrum_lines(s, d):
+    return plotdata.spectrum_data(_spec(s, d)).select("network", "mode", *[_r(c) for c in ("lambda", "ipr", "uniform", "extended")])
+
+
+def _suppliers(s, d):
+    return _table(s, d, "supplier").select(F.col("s_nationkey").alias("network"), F.col("s_suppkey").cast("int").alias("fold"), F.col("s_acctbal").alias("baseline"), (2 * F.col("s_acctbal")).alias("augmented"))
+
+
+def cv_panel(s, d):
+    return plotdata.cv_data(_suppliers(s, d)).select("network", "fold", *[_r(c, 6) for c in ("baseline", "augmented", "baseline_mean", "augmented_mean")])
+
+
+def cv_means(s, d):
+    return predictor.cv_summary(_suppliers(s, d)).select("network", _r("baseline_mean", 6), _r("augmented_mean", 6), _r("gain_mean", 6), "n_folds")
+
+
+def comparison_panel(s, d):
+    return plotdata.comparison_data(_spec(s, d), 0, 1)[0]
+
+
+def atlas_excess(s, d):
+    own = _nodes(s, d).groupBy("network").agg(F.avg("x1").alias("mean_ipr"), F.avg(F.abs("x1")).alias("ipr_null_mean"), F.stddev_samp("x1").alias("ipr_null_std"), F.count(F.lit(1)).alias("n"))
+    return artefacts.excess(own).select("network", _r("ipr_excess_z"), _r("ipr_ratio"), "size_bin")
+
+
+def atlas_crosstab(s, d):
+    return artefacts.crosstab(_table(s, d, "customer").withColumn("label", F.col("c_nationkey") % 3), "c_mktsegment", "label", [0, 1, 2])
+
+
+def atlas_label_summary(s, d):
+    return artefacts.label_summary(_table(s, d, "customer"), "c_mktsegment", "c_acctbal").select("c_mktsegment", "n", *[_r(c, 6) for c in ("mean", "std", "median")])
+
+
+def block_gain(s, d):
+    block = _table(s, d, "customer").select(F.col("c_nationkey").alias("city"), F.col("c_acctbal").alias("r2_base"), (F.col("c_acctbal") + F.col("c_custkey")).alias("r2_aug"))
+    other = _table(s, d, "supplier").select(F.col("s_nationkey").alias("city"), F.col("s_acctbal").alias("r2_base"), (F.col("s_acctbal") + F.col("s_suppkey")).alias("r2_aug"))
+    return artefacts.block_gain(block, other).select("city", *[_r(c, 6) for c in ("r2_base", "r2_aug", "gain", "r2_aug_random", "gain_random", "r2_drop", "gain_drop")])
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        haversine_pairs, knn_geo_edges, knn_geo_grid, knn_feature_edges, sigma_auto, rbf_weights, sym_adjacency, degree, lap_unnorm, lap_sym, knn_out_of_sample,
+        eigs_moments, eigs_cube_moment, eigs_feature_moments, eigs_partial, eigs_both_ends, ipr_modes, pr_modes, ipr_trivial_mode, dirichlet, rayleigh, dirichlet_by_modes, level_spacing,
+        r2_single_feature, r2_subspace, r2_full_basis, spectral_bound, augment_wide, select_k_fixed, select_k_ratio, select_k_elbow, select_k_modes, ceiling_curve,
+        bottleneck_modes, bottleneck_nodes, extended_fraction, bottleneck_zones, bottleneck_zones_nested, profile_summary, profile_checked, statistics,
+        wasserstein_pairs, ks_pairs, compare_networks, compare_spectra, similarity_matrix, similarity_wide, multiscale, multiscale_matrix, band_split,
+        subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_sweep,
+        kfold_sizes, nystrom_extend, cv_estimator, ridge_fit, r2_score, station_load, zfill_ids, size_gate, centre, hist_density, bottleneck_map, spectrum_lines, cv_panel, cv_means, comparison_panel,
+        atlas_excess, atlas_crosstab, atlas_label_summary, block_gain,
+    )
+} | {
+    "cv_transductive": _cv("transductive"), "cv_inductive": _cv("inductive"),
+    "standardise": _scaled(scalars.standardised), "scale_modes": _scaled(scalars.scaled), "minmax": _scaled(scalars.min_max),
+}
+
+__all__ = ["ORACLES", "QUERIES"]
