@@ -148,3 +148,21 @@ def build_graph(nodes: DataFrame, kind: str = "geographic", k: int = 10, sigma:
 def node_count(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``network, n``."""
     return nodes.groupBy(*(by or ["network"])).agg(F.count(F.lit(1)).alias("n"))
+
+
+def connected(w: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``network, node_id, part``: connected parts of each network, named by their least node.
+
+    Least labels of neighbours and then of labels, until none changes; a
+    network has as many eigenvalues 0 as parts.
+    """
+    by = by or ["network"]
+    labels = cut(w.groupBy(*by, F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.first("src")).alias("part")))
+    while True:
+        near = w.join(labels.withColumnRenamed("node_id", "dst"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node_id")).agg(F.min("part").alias("_near"))
+        step = labels.join(near, [*by, "node_id"]).select(*by, "node_id", F.col("part").alias("_was"), F.least("part", "_near").alias("_to"))
+        jump = labels.select(*by, F.col("node_id").alias("_to"), F.col("part").alias("_beyond"))
+        moved = cut(step.join(jump, [*by, "_to"]).select(*by, "node_id", "_was", F.least("_to", "_beyond").alias("part")))
+        labels = moved.drop("_was")
+        if moved.where("part <> _was").isEmpty():
+            return labels

@@ -81,7 +81,9 @@ def largest_first_singular(laplacian: DataFrame, n: int, k: int, which: str = "s
     The eigenvalues of a normalised Laplacian lie in [0, 2], so the smallest are
     the largest singular values of twice the identity less it, and the largest
     are its own. ``src`` and ``dst`` are row numbers from 0 to ``n - 1``. Only k
-    columns, and k values, ever reach the driver.
+    columns, and k values, ever reach the driver. The network must be connected
+    (``knn.connected`` tells): each part of a network that isn't adds an
+    eigenvalue 0, and the iteration may find equal eigenvalues once only.
     """
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
