@@ -368,19 +368,15 @@ def verdicts(s, d):
     return inference.verdicts(rows)
 
 
-RECIPES = (("A", 40, None, 6), ("B", None, 500.0, 6), ("C", None, None, 20), ("D", None, 500.0, 15))
+def control_panels(s, d):
+    """Similarities under each recipe: matched size, width and neighbours."""
+    return resample.control_similarities(_nodes(s, d).select("network", "node_id", "lat", "lng"))
 
 
 def control_sweep(s, d):
-    """Similarities under each recipe (matched size, width, neighbours) against the plain ones."""
-    own = _nodes(s, d).select("network", "node_id", "lat", "lng")
-    base = compare.compare_networks(profile.spectra(own)).select("a", "b", F.col("spectral_similarity").alias("s")).persist()
-    whole = None
-    for name, size, sigma, k in RECIPES:
-        part = own if size is None else resample.matched(own, size)
-        one = compare.compare_networks(profile.spectra(part, k_nn=k, sigma=sigma)).select(F.lit(name).alias("recipe"), "a", "b", F.col("spectral_similarity").alias("s"))
-        whole = one if whole is None else whole.unionByName(one)
-    whole = whole.persist()
+    """Each recipe's similarities against the plain ones."""
+    whole = control_panels(s, d).persist()
+    base = whole.where("recipe = 'base'").select("a", "b", "s")
     rho = inference.mantel_spearman(base, whole, ["recipe"])
     blocks = inference.block_similarity(whole, _groups(s, d), ["recipe"]).select("recipe", "contrast")
     return inference.verdicts(rho.join(blocks, "recipe"))
@@ -500,7 +496,7 @@ QUERIES: dict[str, Query] = {
         r2_single_feature, r2_subspace, r2_full_basis, spectral_bound, augment_wide, select_k_fixed, select_k_ratio, select_k_elbow, select_k_modes, ceiling_curve,
         bottleneck_modes, bottleneck_nodes, extended_fraction, bottleneck_zones, bottleneck_zones_nested, profile_summary, profile_checked, statistics,
         wasserstein_pairs, ks_pairs, compare_networks, compare_spectra, similarity_matrix, similarity_wide, multiscale, multiscale_matrix, band_split,
-        subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_sweep,
+        subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_panels, control_sweep,
         kfold_sizes, nystrom_extend, cv_estimator, ridge_fit, r2_score, station_load, zfill_ids, size_gate, centre, hist_density, bottleneck_map, spectrum_lines, cv_panel, cv_means, comparison_panel,
         atlas_excess, atlas_crosstab, atlas_label_summary, block_gain,
     )
