@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,28 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_of(docs: DataFrame, *more: Column) -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) of a table, other columns dropped."""
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, where it still has Spark's own: whole texts are long rows."""
+    for k, default, v in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "16777216")):
+        name = f"spark.sql.execution.arrow.{k}"
+        if spark.conf.get(name, default).rstrip("b") == default:
+            spark.conf.set(name, v)
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What an operator keeps in a worker between tasks; another operator's goes, as workers are shared."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what other operators keep in this worker."""
+    _held.clear()
 
 
 def crc_part(column: str, modulus: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, crc_part
+from .common import bounded_batches, buffers, crc_part, release
 
 #: Labelled documents of each language that are learned from at most, and characters taken of each, from a place drawn by hash.
 ROWS, CHARACTERS = 1500, 600
@@ -183,6 +183,7 @@ def learn(docs: DataFrame) -> Network | None:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    release()
     net = shared.value
     reader = Reader(net) if net else None
     for batch in batches:
@@ -204,6 +205,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
     ``und`` with score 0 where the text is null or has no letter, or where no
     labelled text was there to learn from.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, text.alias("_body"), text.rlike("\\p{L}").alias("_letters"))

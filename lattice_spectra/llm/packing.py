@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import bounded_batches, held, materialize, ranked
 
 #: Words whose ids a worker keeps, twice: those of late and those before.
 CACHE = 400_000
@@ -151,9 +151,6 @@ class WordIds:
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join([b"".join(map(get, words)) for words in parts]) for t, parts in zip(texts, split, strict=True)]
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def batched(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in order, some ``size`` characters at a time."""
     group, n = [], 0
@@ -168,9 +165,7 @@ def batched(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    encode, end = _encoders[path], array("I", [end_id]).tobytes()
+    encode, end = held(("words", path), lambda: WordIds(path)), array("I", [end_id]).tobytes()
     for batch in batches:
         rows, start, length, crc, total, ids = [], [], [], [], [], []
         i = 0
@@ -206,6 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
     """
     if window < 1:
         raise ValueError("a window holds one token at least")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     pieces = materialize(docs.mapInArrow(lambda it: _pieces(it, tokenizer, window, end_id, with_ids), schema), "pieces")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Names of HTML elements, and words that class, id and role values are made of.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe svg math object textarea title head select".split())
@@ -264,6 +266,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
     content. Pages of any form are read: tags that are never closed, stray ends
     and cut-off ends of a page don't raise.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(*keep, F.coalesce("html", F.lit("")).alias("html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
     return rows.mapInArrow(_extract, f"{fields}, text string, n_chars long")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, held
 from .packing import batched
 
 MARK = "▁"
@@ -197,14 +198,9 @@ class PieceCodec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
     """The worker's codec of a model file."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return held(("pieces", path), lambda: PieceCodec(path))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -237,6 +233,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id`` and ``ids array<int>`` of every text; a null or empty text has no ids."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(lambda it: _encode(it, model), f"doc_id {kind}, ids array<int>")
@@ -256,5 +253,6 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     of the decoded text in UTF-8; ``round_trip`` says whether that is the text,
     where a literal ``▁`` counts as a space, as it does in the model's format.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.mapInArrow(lambda it: _digest(it, model), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, discard, materialize, mix64
+from .common import U64, bounded_batches, buffers, discard, materialize, mix64, release
 
 #: Bytes that are named at a time; bounds a worker's memory for texts of any length.
 SLICE = 1 << 18
@@ -95,6 +95,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    release()
     half, width = length // 2, length - length // 2 + 1
     low = U64((1 << 20) - 1)
     for batch in batches:
@@ -262,6 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     found = repeated_spans(docs, length).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "span")).alias("found"))
     body = docs.select(*keep, F.coalesce("doc_id", F.lit(-1)).cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     joined = body.join(found.withColumnRenamed("doc_id", "_id"), ["_id", "text_key"], "left").select(*keep, "text", "text_key", "found")
+    bounded_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema)
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return joined.mapInArrow(lambda it: _cut(it, length, keep_text), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_part
+from .common import bounded_batches, crc_part, release
 from .packing import batched
 
 #: Labelled documents of each class that are learned from at most, and characters taken of each, from a place drawn by hash.
@@ -254,6 +254,7 @@ class Scorer:
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    release()
     model = shared.value
     scorer = Scorer(model) if model else None
     for batch in batches:
@@ -270,6 +271,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` of every row's whole text, also of null (as empty) and empty ones; 0 without a model."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_body"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_body")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, materialize, mix64
+from .common import U64, buffers, materialize, mix64, release
 from .components import components
 
 #: Hashed word buckets for document frequencies; the broadcast table has this many floats.
@@ -125,6 +125,7 @@ def _sample(shingles: np.ndarray, weights: np.ndarray, tables: tuple[np.ndarray,
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     found, rows = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         at, raw = buffers(batch.column("text"))
@@ -140,11 +141,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_idf(lowered: DataFrame) -> np.ndarray:
     """Inverse document frequency of every word bucket over all rows; ``BUCKETS`` floats."""
-    counts = lowered.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = max(1, int(counts.loc[counts.bucket < 0, "n"].sum()))
-    counts = counts[counts.bucket >= 0]
+    counts = lowered.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (np.asarray(counts.column(c)) for c in ("bucket", "n"))
+    total = max(1, int(n[bucket < 0].sum()))
     df = np.ones(BUCKETS)
-    df[counts.bucket.to_numpy()] = counts.n.to_numpy()
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
     return np.log(1 + total / df).astype(np.float32)
 
 
