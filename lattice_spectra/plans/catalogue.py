@@ -408,7 +408,7 @@ def cv_estimator(s, d):
     from pyspark.ml.regression import LinearRegression
 
     model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=0.01, solver="normal")
-    return predictor.cv_summary(predictor.cross_validate(own.where("network = 0"), ["x1"], 4, 2, estimator=model)[0])
+    return predictor.cv_summary(predictor.cross_validate(own, ["x1"], 4, 2, estimator=model)[0])
 
 
 def ridge_fit(s, d):
