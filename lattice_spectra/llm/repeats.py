@@ -234,8 +234,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         "anchors",
     )
     by_name = anchors.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("kind").alias("_lo"), F.max("kind").alias("_hi")).where("_n > 1")
-    left = materialize(anchors.join(by_name.select("name", (F.col("_lo") == F.col("_hi")).alias("agreed")), "name"), "repeated-anchors")
+    # a table of its own, so that a name with a large part of all anchors is split in the join
+    repeated = materialize(by_name.select("name", (F.col("_lo") == F.col("_hi")).alias("agreed")), "names")
+    left = materialize(anchors.join(repeated, "name"), "repeated-anchors")
     discard(anchors)
+    discard(repeated)
     agreed = left.where("agreed").select("doc_id", "text_key", "start", "span")
     differ = left.where("not agreed")
     kinds = differ.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "span")).alias("one"))
