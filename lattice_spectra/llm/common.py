@@ -67,6 +67,28 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Values of a label up to which their counts are broadcast.
+VALUES = 10_000
+
+
+def bounded_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
+    """The ``n`` rows of least ``order`` (a hash) of each value of ``by``, with their rank ``_r`` from 1.
+
+    Values with many more rows are thinned by the hash's high bits first, by
+    their counts, so that what is ranked has a few times ``n`` rows of each
+    value, whatever the table's size. Counts are broadcast if there are at most
+    ``VALUES`` of them.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_all"))
+    few = counts.limit(VALUES + 1).collect()
+    if len(few) <= VALUES:
+        counts = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in few], counts.schema))
+    sized = rows.withColumn("_h", order).join(counts, by)
+    near = sized.where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= F.lit(4.0 * n + 100) / F.col("_all"))
+    least = Window.partitionBy(by).orderBy("_h")
+    return near.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= n).drop("_all")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for the session, where it still has Spark's own: whole texts are long rows."""
     for k, default, v in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "16777216")):

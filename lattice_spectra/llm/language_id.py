@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buffers, crc_part, release
+from .common import bounded_batches, bounded_sample, buffers, crc_part, release
 
 #: Labelled documents of each language that are learned from at most, and characters taken of each, from a place drawn by hash.
 ROWS, CHARACTERS = 1500, 600
@@ -176,9 +176,9 @@ def learn(docs: DataFrame) -> Network | None:
     """Trains on at most ``ROWS`` documents of each language whose crc32(doc_id as text) mod 3 isn't 1."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_part("doc_id", 3) != 1))
     room = F.greatest(F.length("text") - CHARACTERS, F.lit(0)) + 1
-    cut = rows.select("lang", F.xxhash64("doc_id").alias("_h"), F.substring("text", F.pmod(F.xxhash64("doc_id"), room.cast("long")).cast("int") + 1, F.lit(CHARACTERS)).alias("text"))
-    order = Window.partitionBy("lang").orderBy("_h", "text")
-    got = cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ROWS).orderBy("lang", "_r").collect()
+    picked = bounded_sample(rows.select("doc_id", "lang", "text"), "lang", F.xxhash64("doc_id"), ROWS)
+    got = picked.select("lang", "_r", F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(2)), room.cast("long")).cast("int") + 1, F.lit(CHARACTERS)).alias("text")).collect()
+    got = sorted(got, key=lambda r: (r["lang"], r["_r"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 
