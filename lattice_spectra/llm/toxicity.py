@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
 Both dictionaries are made from labelled text. The ordinary one holds common
-words of ordinary documents and such that have a toxic word inside them; the toxic one holds the same and, before them,
+words of ordinary documents and such that are like toxic ones in part; the toxic one holds the same and, before them,
 words, and beginnings of words, that toxic documents use far more often. A word
 counts by how many different words stand before and after it, so that copies of
 one text don't make its words look typical. (zstandard's own trainer fills its dictionary with the most frequent
@@ -18,7 +18,6 @@ calibrated on halves of the sample, each measured by dictionaries of the other.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,18 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_part, release
+from .common import bounded_batches, bounded_sample, crc_part, release
 from .packing import batched
 
 #: Labelled documents of each class that are learned from at most, and characters taken of each, from a place drawn by hash.
 TOXIC_ROWS, ORDINARY_ROWS, CHARACTERS = 2000, 3000, 4000
 #: Words of ordinary text in both dictionaries, and of toxic text in one, at most.
 COMMON, TYPICAL = 300, 2000
-#: Ordinary words with a toxic word inside them, in both dictionaries: for each toxic word, and in all.
-ALIKE_EACH, ALIKE = 12, 2000
+#: Ordinary words on which the toxic dictionary would save so many bytes, in both dictionaries; found twice, so many each time.
+SAVES, ALIKE = 5, 1000
 #: A typical word is so many times as frequent in toxic text, has so many contexts there or in the part of its documents, and so large a log-likelihood ratio.
 RATIO, LEAST, PART, GAIN = 8.0, 3, 0.01, 9.0
 FRAME, LONGEST, CACHE = 16, 64, 300_000
@@ -166,15 +165,17 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     typical = typical[np.argsort(gain[typical], kind="stable")][-TYPICAL:]
     told = [names[int(c)].removeprefix("^") for c in bad[typical]]
     ranked = sorted(Counter(w for t in ordinary for w in words(t)).items(), key=lambda x: (-x[1], x[0]))
-    inside: list[str] = []
-    if told:
-        any_of = re.compile("|".join(map(re.escape, sorted(set(told), key=len))))
-        left = Counter({x: ALIKE_EACH for x in told})
-        for w, _ in ranked:
-            if (m := any_of.search(w, 1)) and left[m[0]] > 0 and w not in told:
-                left[m[0]] -= 1
-                inside.append(w)
-    shared = f" {' '.join(inside[:ALIKE][::-1])} {' '.join(w for w, _ in ranked[:COMMON][::-1])} ".rjust(FRAME + 1)
+    common = " ".join(w for w, _ in ranked[:COMMON][::-1])
+    alike: list[str] = []
+    for _ in range(2 if told else 0):
+        saver = Saver(*_contents(told, alike, common))
+        held = set(told) | set(alike)
+        alike += [w for w, _ in ranked if w not in held and saver(w) >= SAVES][:ALIKE]
+    return _contents(told, alike, common)
+
+
+def _contents(told: list[str], alike: list[str], common: str) -> tuple[bytes, bytes]:
+    shared = f" {' '.join(alike[::-1])} {common} ".rjust(FRAME + 1)
     return shared.encode(), (" " + " ".join(told) + shared).encode()
 
 
@@ -217,8 +218,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     ``TOXIC_ROWS + ORDINARY_ROWS`` rows, which is broadcast.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).where(F.col("toxic") == F.col("_other"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= ORDINARY_ROWS) & ((F.col("toxic") == 0) | (F.col("_r") <= TOXIC_ROWS))).select("doc_id", "toxic", "_r")
+    picked = bounded_sample(known.select("doc_id", "toxic"), "toxic", F.xxhash64("doc_id"), max(ORDINARY_ROWS, TOXIC_ROWS))
+    picked = picked.where((F.col("toxic") == 0) & (F.col("_r") <= ORDINARY_ROWS) | (F.col("toxic") == 1) & (F.col("_r") <= TOXIC_ROWS)).select("doc_id", "toxic", "_r")
     rows = picked.collect()
     if not rows:
         return None
