@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     discard(repeated)
     agreed = left.where("agreed").select("doc_id", "text_key", "start", "span")
     differ = left.where("not agreed")
-    kinds = differ.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "span")).alias("one"))
+    kinds = materialize(differ.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "span")).alias("one")), "kinds")
     copied = differ.join(kinds.where("copies > 1").select("name", "kind"), ["name", "kind"]).select("doc_id", "text_key", "start", "span")
     to_open = kinds.select("one.doc_id", "one.text_key", F.struct(F.col("one.start").alias("start"), F.col("one.span").alias("span"), F.least("copies", F.lit(2)).cast("int").alias("copies")).alias("cell"))
     cells = to_open.groupBy("doc_id", "text_key").agg(F.collect_list("cell").alias("open"))
