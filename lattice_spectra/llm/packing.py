@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, held, materialize, ranked
 
 #: Words whose ids a worker keeps, twice: those of late and those before.
-CACHE = 400_000
+CACHE = 300_000
 #: Characters of a text that are split into words at a time, up to the next white space.
 PART = 1 << 21
 #: Runs up to which the placement is broadcast.
@@ -120,6 +121,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -137,6 +141,26 @@ class WordIds:
             start = cut.start()
         yield (text[start:] if start else text).split()
 
+    def learn(self, new: set[str]) -> None:
+        """Asks the tokenizer for the ids of words that aren't known.
+
+        Words of plain letters go in a row as one text, which is cheaper; the
+        mark of a word's end in the vocabulary tells where their ids part.
+        """
+        plain = [w for w in new if w.isalpha() and (w.isascii() or not _WIDE.search(w))]
+        rest = list(new.difference(plain))
+        for i in range(0, len(plain), 4096):
+            words = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(words):
+                rest += words
+                continue
+            blob, stops = ids.tobytes(), stops.tolist()
+            self.known.update(zip(words, [blob[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        if rest:
+            self.known.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
@@ -145,8 +169,7 @@ class WordIds:
         if new:
             again = new.intersection(self.older)
             self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            ask = list(new.difference(again))
-            self.known.update(zip(ask, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(ask, add_special_tokens=False)), strict=True))
+            self.learn(new.difference(again))
         get = self.known.__getitem__
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join([b"".join(map(get, words)) for words in parts]) for t, parts in zip(texts, split, strict=True)]
 
