@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..functions.scratch import cut
 
 #: Nodes of the largest network up to which a network is joined with itself.
 PAIRWISE = 5_000
+#: Feature nodes that one task holds of each side.
+BLOCK = 1_000
 
 
 def _neighbours(pairs: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -89,11 +93,51 @@ def knn_geographic(nodes: DataFrame, k: int = 10, by: list[str] | None = None, m
 
 
 def knn_feature(nodes: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
-    """``network, src, dst, d, rk``: the k nearest by Euclidean distance of ``vec``."""
+    """``network, src, dst, d, rk``: the k nearest by Euclidean distance of ``vec``.
+
+    Nodes are dealt into blocks of some ``BLOCK``; each pair of a network's
+    blocks is one task's matrix product, which bounds its memory, and passes on
+    k rows for each node at most. The product only selects: distances of what it
+    may select are taken from differences.
+    """
     by = by or ["network"]
-    left, right = _sides(nodes, by, ["vec"])
-    pairs = left.join(right, by).where("src <> dst").select(*by, "src", "dst", euclidean(F.col("vec_a"), F.col("vec_b")).alias("d"))
-    return _neighbours(pairs, k, by)
+    largest = nodes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-largest // BLOCK))
+    block = lambda: F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = nodes.select(*[F.col(c).alias(f"a_{c}") for c in by], F.col("node_id").alias("a_id"), F.col("vec").alias("a_vec"), block().alias("a_i"), every().alias("a_j"))
+    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col("node_id").alias("b_id"), F.col("vec").alias("b_vec"), every().alias("b_i"), block().alias("b_j"))
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"src {kinds['node_id']}, dst {kinds['node_id']}, d double"])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows: list[np.ndarray] = []
+        cols: list[np.ndarray] = []
+        dist: list[np.ndarray] = []
+        if len(a) and len(b):
+            x, y = np.stack(a.a_vec.to_numpy()).astype(float), np.stack(b.b_vec.to_numpy()).astype(float)
+            own, other = a.a_id.to_numpy(), b.b_id.to_numpy()
+            square, scale = (y * y).sum(axis=1), max(float((x * x).sum(axis=1).max()), float((y * y).sum(axis=1).max()), 1e-300)
+            for s in range(0, len(x), 256):
+                part = x[s : s + 256]
+                rough = (part * part).sum(axis=1)[:, None] - 2 * (part @ y.T) + square
+                rough[own[s : s + 256, None] == other] = np.inf
+                m = min(k, len(y)) - 1
+                cut = np.partition(rough, m, axis=1)[:, m : m + 1]
+                i, j = np.nonzero((rough <= cut + 1e-9 * scale) & np.isfinite(rough))
+                d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
+                order = np.lexsort((other[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = place < k
+                rows.append(own[s + i[keep]])
+                cols.append(other[j[keep]])
+                dist.append(d[keep])
+        whole = [np.concatenate(v) if v else np.zeros(0) for v in (rows, cols, dist)]
+        return pd.DataFrame({c: a[f"a_{c}"].iloc[:1].repeat(len(whole[0])).to_numpy() for c in by} | dict(zip(("src", "dst", "d"), whole, strict=True)))
+
+    found = left.groupBy(*[f"a_{c}" for c in by], "a_i", "a_j").cogroup(right.groupBy(*[f"b_{c}" for c in by], "b_i", "b_j")).applyInPandas(nearest, schema)
+    return _neighbours(found, k, by)
 
 
 def knn_between(test: DataFrame, train: DataFrame, k: int, kind: str = "geographic", by: list[str] | None = None) -> DataFrame:

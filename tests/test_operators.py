@@ -332,3 +332,17 @@ def test_plot_tables(city, made):
     panels = plotdata.overview_data(city, made.pairs, made.spectrum)
     assert panels["map"].count() == 80 and panels["spectrum"].count() == 80 and panels["ceiling"].count() >= 7
     assert plotdata.ceiling_data(city, made.pairs, ["x1"]).count() >= 7
+
+
+def test_feature_neighbours_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4))
+    x[50:] = x[0]  # coincident points: ties go to the smaller id
+    own = sources.from_arrays(spark, "f", coords=x).unionByName(sources.from_arrays(spark, "g", coords=x[:3]))
+    got = {(r["network"], r["src"], r["rk"]): r["dst"] for r in knn.knn_feature(own, 5).collect()}
+    for name, n in (("f", 60), ("g", 3)):
+        for i in range(n):
+            d = np.sqrt(((x[:n] - x[i]) ** 2).sum(axis=1))
+            best = [j for j in np.lexsort((np.arange(n), d)) if j != i][:5]
+            assert [got.get((name, i, r + 1)) for r in range(5)] == [*best, *[None] * (5 - len(best))]
