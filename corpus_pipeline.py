@@ -17,7 +17,8 @@ from lattice_spectra.llm.queries import tokenizer_file
 LEAST_LANGUAGE = 0.4
 TOXIC = 0.3
 SIMILAR = 0.8
-REPEATED_BYTES = 400
+#: A passage of just over 50 words reaches this at 4 bytes a word; the documents' own rate is about 6. op7_remove_repeats keeps its 400.
+REPEATED_BYTES = 200
 WINDOW = 2048
 #: Columns that operators read; others pass through under other names.
 READ = ("doc_id", "text", "lang")

@@ -81,6 +81,22 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, folder).count() == len(packed)
 
 
+def test_passages_of_just_over_fifty_words_are_cut(spark):
+    short = [w for w in prose(2000, 800, SOUNDS["a"]).lower()[:-1].split() if len(w) <= 6]
+    passages = [" ".join(short[80 * i : 80 * i + n]) for i, n in enumerate((51, 53, 57, 59, 65))]
+    assert all(n <= len(p.encode()) < 400 for p, n in zip(passages, (200, 200, 250, 250, 300), strict=True))
+    rows = [(10 * i + j, f"{prose(90, 6000 + 10 * i + j, SOUNDS['a'])} {p} {prose(90, 7000 + 10 * i + j, SOUNDS['a'])}") for i, p in enumerate(passages) for j in range(2)]
+    rows.append((900, prose(40, 7999, SOUNDS["a"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert kept.keys() == {i for i, _ in rows} and kept[900] == rows[-1][1]
+    for i, p in enumerate(passages):
+        for j in range(2):
+            before, after = rows[2 * i + j][1].split(p)
+            # what stands around both copies alike, at least the two spaces, may go as well
+            assert p[10:-10] not in kept[10 * i + j] and before[:-12] in kept[10 * i + j] and after[12:] in kept[10 * i + j]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "repeats", "packing"]
     assert set(oracles.ORACLES) <= set(queries.QUERIES) and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
