@@ -7,8 +7,6 @@ the search only for nodes whose k-th neighbour may lie outside it.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,25 +41,30 @@ def pairs_geographic(nodes: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def _grid(nodes: DataFrame, k: int, by: list[str]) -> DataFrame:
-    box = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("lat").alias("_lat0"), F.max("lat").alias("_lat1"), F.min("lng").alias("_lng0"), F.max("lng").alias("_lng1"), F.max(F.abs("lat")).alias("_far"))
-    metre = math.pi / 180 * EARTH_RADIUS_M
-    area = (F.col("_lat1") - F.col("_lat0")) * metre * (F.col("_lng1") - F.col("_lng0")) * metre * F.cos(F.radians("_far"))
-    box = box.withColumn("_side", F.greatest(F.sqrt(area * (2 * k) / F.col("_n")), F.lit(1.0)))
+    """Cells are cubes around points of the unit sphere, where chords grow with distances, so neither poles nor the 180th meridian are edges."""
+    axes = ["_x", "_y", "_z"]
+    lat, lng = F.radians("lat"), F.radians("lng")
+    placed = nodes.withColumn("_x", F.cos(lat) * F.cos(lng)).withColumn("_y", F.cos(lat) * F.sin(lng)).withColumn("_z", F.sin(lat))
+    box = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[(F.max(c) - F.min(c)).alias(f"{c}w") for c in axes])
+    faces = [F.pow(F.col(f"{a}w") * F.col(f"{b}w"), 2) for a, b in (("_x", "_y"), ("_y", "_z"), ("_x", "_z"))]
+    area = F.sqrt(faces[0] + faces[1] + faces[2])
+    box = box.withColumn("_side", F.greatest(F.sqrt(area * (2 * k) / F.col("_n")), F.lit(1.0 / EARTH_RADIUS_M))).select(*by, "_n", "_side")
     open_nodes, done, factor = nodes, [], 1.0
-    full = nodes.join(F.broadcast(box) if nodes.select(*by).distinct().count() < 10_000 else box, by)
+    full = placed.join(F.broadcast(box) if nodes.select(*by).distinct().count() < 10_000 else box, by)
     while True:
         side = F.col("_side") * factor
-        cell_lat, cell_lng = side / metre, side / (metre * F.cos(F.radians("_far")))
-        placed = full.withColumn("_row", F.floor((F.col("lat") - F.col("_lat0")) / cell_lat)).withColumn("_col", F.floor((F.col("lng") - F.col("_lng0")) / cell_lng))
-        right = placed.select(*by, "_row", "_col", F.col("node_id").alias("dst"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
-        asked = placed.join(open_nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi") if done else placed
-        near = asked.withColumn("_i", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])))
-        left = near.select(*by, (F.col("_row") + F.col("_i")).alias("_row"), (F.col("_col") + F.col("_j")).alias("_col"), F.col("node_id").alias("src"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), side.alias("_reach"), F.least(F.lit(k), F.col("_n") - 1).alias("_k"))
-        # a latitude's cells are at least this wide in metres, so all that is closer was seen
-        pairs = left.join(right, [*by, "_row", "_col"]).where("src <> dst").withColumn("d", haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")))
+        cells = [f"{c}c" for c in axes]
+        celled = full.select("*", *[F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)])
+        right = celled.select(*by, *cells, F.col("node_id").alias("dst"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
+        asked = celled.join(open_nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi") if done else celled
+        for c in cells:
+            asked = asked.withColumn(f"{c}d", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])))
+        left = asked.select(*by, *[(F.col(c) + F.col(f"{c}d")).alias(c) for c in cells], F.col("node_id").alias("src"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), side.alias("_reach"), F.least(F.lit(k), F.col("_n") - 1).alias("_k"))
+        # all whose chord is under a cell's side was seen
+        pairs = left.join(right, [*by, *cells]).where("src <> dst").withColumn("d", haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")))
         order = Window.partitionBy(*by, "src").orderBy("d", "dst")
         found = cut(pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= F.col("_k")).select(*by, "src", "dst", "d", "rk", "_reach", "_k"))
-        sure = found.where((F.col("rk") == F.col("_k")) & (F.col("d") <= F.col("_reach") * 0.999)).select(*by, "src")
+        sure = found.where((F.col("rk") == F.col("_k")) & (2 * F.sin(F.col("d") / (2 * EARTH_RADIUS_M)) <= F.col("_reach") * 0.999)).select(*by, "src")
         done.append(found.join(sure, [*by, "src"], "left_semi").select(*by, "src", "dst", "d", "rk"))
         open_nodes = cut(open_nodes.join(sure.withColumnRenamed("src", "node_id"), [*by, "node_id"], "left_anti"))
         left_over = open_nodes.count()

@@ -29,6 +29,17 @@ def test_grid_equals_pairwise(spark):
     assert key(knn.knn_geographic(box, 7, method="grid")) == key(knn.knn_geographic(box, 7, method="pairwise"))
 
 
+def test_grid_across_the_180th_meridian_and_near_poles(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    wrapped = [(179.9 + x + 180) % 360 - 180 for x in rng.uniform(0, 0.4, n)]
+    rows = [("meridian", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-17, -16, n), wrapped, strict=True))]
+    rows += [("pole", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(88, 90, n), rng.uniform(-180, 180, n), strict=True))]
+    box = spark.createDataFrame(rows, "network string, node_id long, lat double, lng double")
+    key = lambda df: sorted((r["network"], r["src"], r["rk"], r["dst"], round(r["d"], 3)) for r in df.collect())
+    assert key(knn.knn_geographic(box, 7, method="grid")) == key(knn.knn_geographic(box, 7, method="pairwise"))
+
+
 def test_weights_are_symmetric_and_sigma_is_kept(city):
     w, sigma = knn.adjacency(knn.knn_geographic(city, 5), 250.0)
     table = {(r["src"], r["dst"]): r["w"] for r in w.collect()}
