@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour graphs.
 
-Two physical ways give the same edges: a join of each network with itself,
-where networks are small, and for large ones a join over grid cells that widens
-the search only for nodes whose k-th neighbour may lie outside it.
+Three physical ways give the same edges: products of a network's blocks, where
+networks are small, a join over grid cells for large ones, which widens the
+search only for nodes whose k-th neighbour may lie outside it, and a plain join
+of each network with itself.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import EARTH_RADIUS_M, euclidean, haversine, rbf
 from ..functions.scratch import cut
 
-#: Nodes of the largest network up to which a network is joined with itself.
-PAIRWISE = 5_000
-#: Feature nodes that one task holds of each side.
+#: Nodes of the largest network up to which all of a network's blocks meet.
+BLOCKWISE = 20_000
+#: Nodes that one task holds of each side.
 BLOCK = 1_000
+#: Neighbours that a block's product passes on beyond k, as the last digits of distances are taken from the join's own formula.
+SPARE = 8
 
 
 def _neighbours(pairs: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -85,33 +88,53 @@ def _grid(nodes: DataFrame, k: int, by: list[str]) -> DataFrame:
 def knn_geographic(nodes: DataFrame, k: int = 10, by: list[str] | None = None, method: str = "auto") -> DataFrame:
     """``network, src, dst, d, rk``: the k nearest by great-circle distance (all others, if fewer).
 
-    ``method`` is ``pairwise``, ``grid`` or ``auto``: the grid if the largest
-    network has over ``PAIRWISE`` nodes.
+    ``method`` is ``pairwise``, ``blocks``, ``grid`` or ``auto``: the grid if the
+    largest network has over ``BLOCKWISE`` nodes, else blocks. All give the same
+    edges.
     """
     by = by or ["network"]
-    if method == "auto":
-        largest = nodes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "grid" if largest > PAIRWISE else "pairwise"
-    return _grid(nodes, k, by) if method == "grid" else _neighbours(pairs_geographic(nodes, by), k, by)
+    if method not in ("auto", "pairwise", "blocks", "grid"):
+        raise ValueError(f"method must be 'auto', 'pairwise', 'blocks' or 'grid', not {method!r}")
+    if method == "pairwise":
+        return _neighbours(pairs_geographic(nodes, by), k, by)
+    largest = 0 if method == "grid" else _largest(nodes, by)
+    if method == "grid" or method == "auto" and largest > BLOCKWISE:
+        return _grid(nodes, k, by)
+    lat, lng = F.radians("lat"), F.radians("lng")
+    vec = F.array(F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))
+    near = _block_products(nodes.select(*by, "node_id", vec.alias("vec"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")), k, by, largest, ["lat", "lng"], SPARE)
+    d = haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
+    return _neighbours(near.select(*by, "src", "dst", d.alias("d")), k, by)
+
+
+def _largest(nodes: DataFrame, by: list[str]) -> int:
+    return nodes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
 def knn_feature(nodes: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
-    """``network, src, dst, d, rk``: the k nearest by Euclidean distance of ``vec``.
+    """``network, src, dst, d, rk``: the k nearest by Euclidean distance of ``vec``."""
+    by = by or ["network"]
+    return _neighbours(_block_products(nodes.select(*by, "node_id", "vec"), k, by, _largest(nodes, by)), k, by)
+
+
+def _block_products(nodes: DataFrame, k: int, by: list[str], largest: int, carried: list[str] | None = None, spare: int = 0) -> DataFrame:
+    """``src, dst, d`` and both sides' ``carried`` columns (``_a``, ``_b``) of what may be the k nearest by ``vec``.
 
     Nodes are dealt into blocks of some ``BLOCK``; each pair of a network's
     blocks is one task's matrix product, which bounds its memory, and passes on
-    k rows for each node at most. The product only selects: distances of what it
-    may select are taken from differences.
+    ``k + spare`` rows for each node at most. The product, of vectors less their
+    block's mean, only selects: distances of what it may select are taken from
+    differences.
     """
-    by = by or ["network"]
-    largest = nodes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    carried = carried or []
     n = max(1, -(-largest // BLOCK))
     block = lambda: F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int")
     every = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = nodes.select(*[F.col(c).alias(f"a_{c}") for c in by], F.col("node_id").alias("a_id"), F.col("vec").alias("a_vec"), block().alias("a_i"), every().alias("a_j"))
-    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col("node_id").alias("b_id"), F.col("vec").alias("b_vec"), every().alias("b_i"), block().alias("b_j"))
+    own = ["node_id", "vec", *carried]
+    left = nodes.select(*[F.col(c).alias(f"a_{c}") for c in [*by, *own]], block().alias("a_i"), every().alias("a_j"))
+    right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in [*by, *own]], every().alias("b_i"), block().alias("b_j"))
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"src {kinds['node_id']}, dst {kinds['node_id']}, d double"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"src {kinds['node_id']}, dst {kinds['node_id']}, d double", *[f"{c}_{side} {kinds[c]}" for side in "ab" for c in carried]])
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows: list[np.ndarray] = []
@@ -119,28 +142,33 @@ def knn_feature(nodes: DataFrame, k: int = 10, by: list[str] | None = None) -> D
         dist: list[np.ndarray] = []
         if len(a) and len(b):
             x, y = np.stack(a.a_vec.to_numpy()).astype(float), np.stack(b.b_vec.to_numpy()).astype(float)
-            own, other = a.a_id.to_numpy(), b.b_id.to_numpy()
-            square, scale = (y * y).sum(axis=1), max(float((x * x).sum(axis=1).max()), float((y * y).sum(axis=1).max()), 1e-300)
+            mean = y.mean(axis=0)
+            plain, against = x, y
+            x, y = x - mean, y - mean
+            own, other = a.a_node_id.to_numpy(), b.b_node_id.to_numpy()
+            square = (y * y).sum(axis=1)
+            scale = max(float((x * x).sum(axis=1).max()), float(square.max()), 1e-300)
             for s in range(0, len(x), 256):
                 part = x[s : s + 256]
                 rough = (part * part).sum(axis=1)[:, None] - 2 * (part @ y.T) + square
                 rough[own[s : s + 256, None] == other] = np.inf
-                m = min(k, len(y)) - 1
+                m = min(k + spare, len(y)) - 1
                 cut = np.partition(rough, m, axis=1)[:, m : m + 1]
-                i, j = np.nonzero((rough <= cut + 1e-9 * scale) & np.isfinite(rough))
-                d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
+                i, j = np.nonzero((rough <= cut + 1e-12 * scale) & np.isfinite(rough))
+                d = np.sqrt(((plain[s + i] - against[j]) ** 2).sum(axis=1))
                 order = np.lexsort((other[j], d, i))
                 i, j, d = i[order], j[order], d[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                keep = place < k
-                rows.append(own[s + i[keep]])
-                cols.append(other[j[keep]])
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k + spare
+                rows.append(s + i[keep])
+                cols.append(j[keep])
                 dist.append(d[keep])
-        whole = [np.concatenate(v) if v else np.zeros(0) for v in (rows, cols, dist)]
-        return pd.DataFrame({c: a[f"a_{c}"].iloc[:1].repeat(len(whole[0])).to_numpy() for c in by} | dict(zip(("src", "dst", "d"), whole, strict=True)))
+        i, j = (np.concatenate(v).astype(int) if v else np.zeros(0, int) for v in (rows, cols))
+        found = {c: a[f"a_{c}"].iloc[:1].repeat(len(i)).to_numpy() for c in by}
+        found |= {"src": a.a_node_id.to_numpy()[i], "dst": b.b_node_id.to_numpy()[j], "d": np.concatenate(dist) if dist else np.zeros(0)}
+        found |= {f"{c}_a": a[f"a_{c}"].to_numpy()[i] for c in carried} | {f"{c}_b": b[f"b_{c}"].to_numpy()[j] for c in carried}
+        return pd.DataFrame(found)
 
-    found = left.groupBy(*[f"a_{c}" for c in by], "a_i", "a_j").cogroup(right.groupBy(*[f"b_{c}" for c in by], "b_i", "b_j")).applyInPandas(nearest, schema)
-    return _neighbours(found, k, by)
+    return left.groupBy(*[f"a_{c}" for c in by], "a_i", "a_j").cogroup(right.groupBy(*[f"b_{c}" for c in by], "b_i", "b_j")).applyInPandas(nearest, schema)
 
 
 def knn_between(test: DataFrame, train: DataFrame, k: int, kind: str = "geographic", by: list[str] | None = None) -> DataFrame:

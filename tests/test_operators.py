@@ -10,7 +10,7 @@ from lattice_spectra.sources import sinks
 
 @pytest.fixture(scope="module")
 def city(spark):
-    return sources.three_centres(spark, "city", 80, 3).persist()
+    return sources.spiral_town(spark, "city", 80, 3).persist()
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,24 @@ def test_grid_across_the_180th_meridian_and_near_poles(spark):
     assert key(knn.knn_geographic(box, 7, method="grid")) == key(knn.knn_geographic(box, 7, method="pairwise"))
 
 
+def test_blocks_equal_pairwise(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    n = 150
+    clusters = rng.normal(0, [[1e-5], [0.1], [3.0]], (3, 50)).ravel()
+    rows = [("clusters", i, float(45 + a), float(5 + b)) for i, (a, b) in enumerate(zip(clusters, rng.permutation(clusters), strict=True))]
+    rows += [("line", i, 10.0, float(x)) for i, x in enumerate(rng.uniform(-180, 180, n))]
+    rows += [("pole", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(88, 90, n), rng.uniform(-180, 180, n), strict=True))]
+    rows += [("places", i, float(i % 3), 1.0) for i in range(120)] + [("two", 0, 1.0, 1.0), ("two", 1, 1.0, 2.0), ("one", 0, 1.0, 1.0)]
+    box = spark.createDataFrame(rows, "network string, node_id long, lat double, lng double")
+    key = lambda df: sorted((r["network"], r["src"], r["rk"], r["dst"], r["d"]) for r in df.collect())
+    want = key(knn.knn_geographic(box, 7, method="pairwise"))
+    assert key(knn.knn_geographic(box, 7, method="blocks")) == want and key(knn.knn_geographic(box, 7, method="grid")) == want
+    assert knn.knn_geographic(box.where("false"), 7).count() == 0
+    with pytest.raises(ValueError):
+        knn.knn_geographic(box, 7, method="other")
+
+
 def test_weights_are_symmetric_and_sigma_is_kept(city):
     w, sigma = knn.adjacency(knn.knn_geographic(city, 5), 250.0)
     table = {(r["src"], r["dst"]): r["w"] for r in w.collect()}
@@ -192,7 +210,7 @@ def test_summary(made):
 def cities(spark):
     whole = None
     for i, name in enumerate("abcd"):
-        one = sources.three_centres(spark, name, 50 + 5 * i, i, 0.005).drop("y")
+        one = sources.spiral_town(spark, name, 50 + 5 * i, i, width=0.003 + 0.002 * i).drop("y")
         whole = one if whole is None else whole.unionByName(one)
     return whole.persist()
 
