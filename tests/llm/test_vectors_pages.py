@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattice_spectra.llm import exact_topk, pages, permutation_index, vectors
+from lattice_spectra.llm import exact_topk, page_samples, pages, permutation_index, vectors
 
 
 def table(spark, rows):
@@ -110,6 +110,71 @@ def test_main_text():
     assert pages.main_text(PAGE).split("\n\n") == ["A & B", "First paragraph, with bold and a link.", "Short.", "one", "two"]
 
 
+SENTENCES = "This is a sentence of some length, with a comma in it. And here is another one, as pages have them."
+
+
+@pytest.mark.parametrize("name", ["social-policy", "search-results", "discussion", "text-share", "tags-section", "hidden-gems", "related-work", "comment-law", "menu-of-the-day", "has-sidebar"])
+def test_a_topics_name_does_not_bar_a_paragraph(name):
+    around = f"<nav><a href=x>x</a></nav><article><h1>Title</h1><p>{SENTENCES}</p>%s</article><footer>x</footer>"
+    kept = f"Title\n\n{SENTENCES}\n\nKept. {SENTENCES}"
+    assert pages.main_text(around % f'<div class="{name}"><p>Kept. {SENTENCES}</p></div>') == kept
+    assert pages.main_text(around % f'<p class="{name}">Kept. {SENTENCES}</p>') == kept
+
+
+@pytest.mark.parametrize("marks", ['class="ad"', 'class="box ad-slot"', 'id="comments"', 'class="commentList"', 'class="cookie-notice"', 'class="share-buttons"', 'role="complementary"', 'class="related-posts"', "hidden", 'style="display: none"', 'class="sidebar-widget"', 'class="newsletter_signup"'])
+def test_furniture_goes_inside_an_article_too(marks):
+    html = f"<article><h1>Title</h1><p>{SENTENCES}</p><div {marks}><p>{SENTENCES} Gone. {SENTENCES}</p></div><p>{SENTENCES}</p></article>"
+    assert pages.main_text(html) == f"Title\n\n{SENTENCES}\n\n{SENTENCES}"
+
+
+def test_pages_without_an_article():
+    linked = "A linked paragraph of some ninety characters, which is all but one word of this small page."
+    assert pages.main_text(f"<html><body><p><a href=x>{linked}</a></p><p>Word</p></body></html>") == linked + "\n\nWord"
+    body = f"<div id=content><h1>Title</h1><p>{SENTENCES}</p></div>"
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(6)) + "</ul>"
+    assert pages.main_text(f"<body>{menu}{body}<div class=footer>© 2020, all of it.</div></body>") == f"Title\n\n{SENTENCES}"
+    assert pages.main_text(f"<body>{menu}</body>") == ""
+
+
+def test_heads_without_an_end():
+    rest = f"<p>{SENTENCES}</p><p>{SENTENCES}</p>"
+    want = f"{SENTENCES}\n\n{SENTENCES}"
+    for head in ("<head><title>x</title><meta charset=u>", "<head><script>'<p>no</p></head>'</script><link rel=x><style>p{}</style>", "<html><head>", "<head><title>x</title></head>"):
+        assert pages.main_text(head + rest) == want
+    assert pages.main_text(f"<head><title>x</title>{SENTENCES}") == SENTENCES and pages.main_text("<head><title>x</title>") == ""
+
+
+def test_marks_are_counted_over_the_whole_block():
+    words = "word " * 100
+    rows = pages.features(pages.blocks(f"<p>{words}{'one. two. three. four.' * 2}</p><p>{words}</p>"))
+    stops = pages.FEATURES.index("stops")
+    assert rows[0][stops] == 1 and rows[1][stops] == 0
+
+
+#: Names that the generated pages for training don't have.
+UNSEEN = {
+    "menu": ["globalNav", "nav-primary", "menu-bar"], "header": ["masthead", "page_topbar"], "footer": ["pageFooter", "footer-inner"], "sidebar": ["right-sidebar", "sidebar_box"], "notice": ["gdpr-consent", "cookies", "alert-box"],
+    "advert": ["advertising", "sponsored-links", "ads_top"], "comments": ["reader-comments", "disqus-thread", "replies"], "related": ["recommended-links", "related_box"], "share": ["sharing-buttons", "social-links"], "form": ["subscribe", "signup-form"],
+}
+
+
+def test_labelled_pages(spark):
+    """Characters of made pages with other seeds, names and topics than those for training."""
+    from random import Random
+
+    rng = Random(2024)
+    made_pages = [page_samples.page(rng, UNSEEN, "opera tax river chess planet novel sugar".split(), ["article__content", "singlePost", "story-text"]) for _ in range(400)]
+    rows = spark.createDataFrame([(i, "u", html) for i, (html, _) in enumerate(made_pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in pages.extract(rows).collect()}
+    right = kept = wanted = 0
+    for i, (_, truth) in enumerate(made_pages):
+        good = [t for t, g in truth if g]
+        wanted += sum(map(len, good))
+        kept += sum(map(len, got[i]))
+        right += sum(len(t) for t in got[i] if t in good)
+    assert right / kept >= 0.97 and right / wanted >= 0.98
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<", "<p", "<p>&am", "</div></p>", "<script>x", "<div " * 50, "<!-- x", "a" * 100_000, "<p>" * 3000 + "x"])
 def test_any_form_is_read(html):
     pages.main_text(html)
