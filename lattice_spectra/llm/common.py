@@ -40,14 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it goes when the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/lattice-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return root
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: lost executors cost a re-read, not a recomputation.
-    The shuffle files that the table was made from go at once.
+    The shuffle files that the table was made from go at once; the table goes
+    by ``discard``, or with the application. Settings of ``_WRITING`` hold for
+    the session while the table is written and are put back, so queries that
+    run at the same time should have sessions of their own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
@@ -56,14 +69,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that nothing will read again."""
-    spark = table.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -71,22 +86,32 @@ def discard(table: DataFrame) -> None:
 VALUES = 10_000
 
 
+#: Slices of a label's sample by hash, each ranked by a task of its own.
+SLICES = 16
+
+
 def bounded_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
     """The ``n`` rows of least ``order`` (a hash) of each value of ``by``, with their rank ``_r`` from 1.
 
     Values with many more rows are thinned by the hash's high bits first, by
     their counts, so that what is ranked has a few times ``n`` rows of each
-    value, whatever the table's size. Counts are broadcast if there are at most
-    ``VALUES`` of them.
+    value, whatever the table's size. Ranks are taken in slices of the hash, so
+    that one value isn't one task. Counts are broadcast if there are at most
+    ``VALUES`` of them. Of rows with equal hashes any may come first.
     """
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_all"))
     few = counts.limit(VALUES + 1).collect()
     if len(few) <= VALUES:
         counts = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in few], counts.schema))
-    sized = rows.withColumn("_h", order).join(counts, by)
-    near = sized.where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= F.lit(4.0 * n + 100) / F.col("_all"))
-    least = Window.partitionBy(by).orderBy("_h")
-    return near.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= n).drop("_all")
+    share = F.least(F.lit(1.0), F.lit(4.0 * n + 100) / F.col("_all"))
+    place = (F.col("_h").cast("double") / 2.0**64 + 0.5) / share
+    near = rows.withColumn("_h", order).join(counts, by).withColumn("_s", F.floor(place * SLICES).cast("int")).where(place <= 1).drop("_all")
+    near = materialize(near, "sample")
+    before = Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = near.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select(by, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = near.withColumn("_at", F.row_number().over(Window.partitionBy(by, "_s").orderBy("_h")))
+    return inside.join(first, [by, "_s"]).withColumn("_r", F.col("_first") + F.col("_at")).where(F.col("_r") <= n).drop("_s", "_at", "_first")
 
 
 def bounded_batches(spark: SparkSession) -> None:

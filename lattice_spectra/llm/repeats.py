@@ -21,7 +21,10 @@ offsets, so no sort is needed. From there on Spark sorts and reranks:
 
 Step 3 is the doubling to the full length; steps 1 and 2 only keep positions
 whose rank is settled out of it. No step has caps: a passage in a third of all
-documents is a large count, aggregated before the shuffle.
+documents is a large count, aggregated before the shuffle. Where a text repeats
+itself at a short period, its anchors' equal successors are one row with their
+number, so that a long run of one letter is a few rows; windows found are merged
+by stretches of a text before those of a text come together.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from .common import U64, bounded_batches, buffers, discard, materialize, mix64,
 
 #: Bytes that are named at a time; bounds a worker's memory for texts of any length.
 SLICE = 1 << 18
+#: Bytes of a text whose windows found are merged at a time.
+STRETCH = 1 << 16
 _BYTE = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.int64).astype(U64)
 _ODD = (np.random.Generator(np.random.PCG64(78)).integers(1, 2**62, 64, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 
@@ -100,7 +105,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     low = U64((1 << 20) - 1)
     for batch in batches:
         at, raw = buffers(batch.column("text"))
-        rows, names_, kinds, starts, spans = [], [], [], [], []
+        rows, names_, kinds, starts, spans, times = [], [], [], [], [], []
         for lo, hi, idx, first, last in _slices(at, length):
             if not len(idx):
                 continue
@@ -121,11 +126,18 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             second = length - half
             kind = mix64(g[edge] * _ODD[40] + g[edge + second] * _ODD[41] + g[stop] * _ODD[42] + g[stop + second] * _ODD[43] + (a - edge).astype(U64) * _ODD[44] + (stop - edge).astype(U64) * _ODD[45])
             own = idx[np.searchsorted(first, edge + lo, side="right") - 1]
-            rows.append(own)
-            names_.append(g[a])
-            kinds.append(kind)
-            starts.append(edge + lo - at[own])
-            spans.append(stop - edge)
+            name = g[a]
+            # equal neighbours, as a period makes them, are one row
+            head = np.ones(len(edge), bool)
+            head[1:] = (name[1:] != name[:-1]) | (kind[1:] != kind[:-1]) | (own[1:] != own[:-1]) | (edge[1:] != stop[:-1] + 1)
+            head = np.flatnonzero(head)
+            tail = np.append(head[1:], len(edge)) - 1
+            rows.append(own[head])
+            names_.append(name[head])
+            kinds.append(kind[head])
+            starts.append(edge[head] + lo - at[own[head]])
+            spans.append(stop[tail] - edge[head])
+            times.append(tail - head + 1)
         if not rows:
             continue
         own = pa.array(np.concatenate(rows))
@@ -137,8 +149,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 pa.array(np.concatenate(kinds).view(np.int64)),
                 pa.array(np.concatenate(starts).astype(np.int32)),
                 pa.array(np.concatenate(spans).astype(np.int32)),
+                pa.array(np.concatenate(times).astype(np.int32)),
             ],
-            names=["doc_id", "text_key", "name", "kind", "start", "span"],
+            names=["doc_id", "text_key", "name", "kind", "start", "span", "times"],
         )
 
 
@@ -183,6 +196,23 @@ def _runs(start: np.ndarray, span: np.ndarray, length: int) -> tuple[np.ndarray,
     return lo[first], top[np.append(first[1:] - 1, len(top) - 1)]
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each stretch of a text as runs of neighbouring starts."""
+    for batch in batches:
+        cells = batch.column("some")
+        ends = np.asarray(cells.offsets)
+        starts, spans = (np.asarray(cells.values.field(k)).astype(np.int64) for k in ("start", "span"))
+        rows, lo, hi = [], [], []
+        for i in range(len(batch)):
+            a, b = _runs(starts[ends[i] : ends[i + 1]], spans[ends[i] : ends[i + 1]], 1)
+            rows.append(np.full(len(a), i))
+            lo.append(a)
+            hi.append(b - 1 - a)
+        if rows:
+            own = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(own), batch.column("text_key").take(own), pa.array(np.concatenate(lo).astype(np.int32)), pa.array(np.concatenate(hi).astype(np.int32))], names=["_id", "text_key", "start", "span"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, raw = buffers(batch.column("text"))
@@ -230,18 +260,17 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     long_enough = keyed.where(F.octet_length("text") >= length)
     anchors = materialize(
-        long_enough.mapInArrow(lambda it: _anchors(it, length), "doc_id long, text_key long, name long, kind long, start int, span int"),
+        long_enough.mapInArrow(lambda it: _anchors(it, length), "doc_id long, text_key long, name long, kind long, start int, span int, times int"),
         "anchors",
     )
-    by_name = anchors.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("kind").alias("_lo"), F.max("kind").alias("_hi")).where("_n > 1")
+    by_name = anchors.groupBy("name").agg(F.sum("times").alias("_n"), F.min("kind").alias("_lo"), F.max("kind").alias("_hi")).where("_n > 1")
     # a table of its own, so that a name with a large part of all anchors is split in the join
     repeated = materialize(by_name.select("name", (F.col("_lo") == F.col("_hi")).alias("agreed")), "names")
     left = materialize(anchors.join(repeated, "name"), "repeated-anchors")
-    discard(anchors)
-    discard(repeated)
+    discard(anchors, repeated)
     agreed = left.where("agreed").select("doc_id", "text_key", "start", "span")
     differ = left.where("not agreed")
-    kinds = materialize(differ.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "span")).alias("one")), "kinds")
+    kinds = materialize(differ.groupBy("name", "kind").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "text_key", "start", (F.floor((F.col("span") + 1) / F.col("times")) - 1).cast("int").alias("span"))).alias("one")), "kinds")
     copied = differ.join(kinds.where("copies > 1").select("name", "kind"), ["name", "kind"]).select("doc_id", "text_key", "start", "span")
     to_open = kinds.select("one.doc_id", "one.text_key", F.struct(F.col("one.start").alias("start"), F.col("one.span").alias("span"), F.least("copies", F.lit(2)).cast("int").alias("copies")).alias("cell"))
     cells = to_open.groupBy("doc_id", "text_key").agg(F.collect_list("cell").alias("open"))
@@ -252,8 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     )
     pairs = materialize(opened.groupBy("k1", "k2").agg(F.sum("copies").alias("_n")).where("_n > 1").select("k1", "k2"), "repeated-pairs")
     ended = materialize(opened.where("copies = 1").join(pairs, ["k1", "k2"]).select("doc_id", "text_key", "start", F.lit(0).alias("span")), "ends")
-    discard(opened)
-    discard(pairs)
+    discard(opened, pairs)
     return agreed.unionByName(copied).unionByName(ended)
 
 
@@ -263,9 +291,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     One row per row of ``docs``. ``kept_text`` drops bytes of a character that
     a cut left incomplete; the digest is of the kept bytes as they are.
     """
-    found = repeated_spans(docs, length).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "span")).alias("found"))
+    window = F.struct("start", "span")
+    some = repeated_spans(docs, length).groupBy(F.col("doc_id").alias("_id"), "text_key", F.floor(F.col("start") / STRETCH).alias("_stretch")).agg(F.collect_list(window).alias("some"))
+    runs = some.select("_id", "text_key", "some").mapInArrow(_merged, "_id long, text_key long, start int, span int")
+    found = runs.groupBy("_id", "text_key").agg(F.collect_list(window).alias("found"))
     body = docs.select(*keep, F.coalesce("doc_id", F.lit(-1)).cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    joined = body.join(found.withColumnRenamed("doc_id", "_id"), ["_id", "text_key"], "left").select(*keep, "text", "text_key", "found")
+    joined = body.join(found, ["_id", "text_key"], "left").select(*keep, "text", "text_key", "found")
     bounded_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema)
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")

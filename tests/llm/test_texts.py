@@ -69,6 +69,31 @@ def test_repeats_across_slices(spark, monkeypatch):
     assert covered == [len(t.encode()) - 99 for t in texts]  # each window has one anchor
 
 
+def test_periodic_texts_are_a_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "STRETCH", 700)
+    line = prose(4, 31) + "\n"
+    texts = ["a" * 3000, "ab" * 1500, line * 60, prose(80, 5) + "xyz" * 700 + prose(80, 6), "xyz" * 300 + prose(40, 7), "a" * 100]
+    got = repeats.remove_repeats(docs(spark, texts), 100).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts, 100)
+    import pyarrow as pa
+
+    for text in ("a" * 1_000_000, "ab" * 500_000, line * 20_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([text])], names=["doc_id", "text_key", "text"])
+        found = pa.Table.from_batches(list(repeats._anchors(iter([batch]), 400))).to_pandas()
+        assert len(found) < 50 and (found.span + 1).sum() == len(text) - 399
+
+
+def test_ten_million_letters(spark):
+    """One letter, but for two marks that part a string of its own from it."""
+    n = 10_000_000
+    text = "a" * n
+    marked = text[: n // 2] + "<" + prose(100, 4) + ">" + text[n // 2 :]
+    got = repeats.remove_repeats(docs(spark, [marked, prose(60, 2)]), 400).orderBy("doc_id").collect()
+    own = len(prose(100, 4)) + 2
+    assert got[0]["n_removed"] == n and got[0]["n_spans"] == 2 and got[0]["n_bytes"] == n + own
+    assert got[0]["kept_sha256"] == hashlib.sha256(("<" + prose(100, 4) + ">").encode()).hexdigest() and got[1]["n_removed"] == 0
+
+
 def test_repeats_with_equal_ids_and_null_ids(spark):
     text = prose(30, 1)
     got = repeats.remove_repeats(docs(spark, [text, text, prose(30, 2), None], [5, 5, None, None]), 40).collect()
