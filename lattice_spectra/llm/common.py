@@ -50,12 +50,13 @@ def _folder(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: lost executors cost a re-read, not a recomputation.
     The shuffle files that the table was made from go at once; the table goes
-    by ``discard``, or with the application. Settings of ``_WRITING`` hold for
+    by ``discard``, or with the application. ``rows_a_file`` bounds the rows of a
+    file (0: unbounded), for rows of megabytes. Settings of ``_WRITING`` hold for
     the session while the table is written and are put back, so queries that
     run at the same time should have sessions of their own.
     """
@@ -65,7 +66,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -53,16 +53,26 @@ class PivotFiles:
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
         self.rows = by // self.prefix
-        self.places = by % self.prefix
+        #: What a row's place takes off at most.
+        self.worth = (self.prefix - by % self.prefix).astype(np.float64)
         self.starts = np.searchsorted(flat[by], np.arange(pivots + 1))
         self.n = n
+        self.room: tuple[np.ndarray, np.ndarray] | None = None
 
     def closeness(self, order: np.ndarray) -> np.ndarray:
         """For each row, half of what it is nearer by footrule than a row without a shared pivot."""
-        spans = [(self.starts[p], self.starts[p + 1]) for p in order]
-        rows = np.concatenate([self.rows[a:b] for a, b in spans])
-        gain = np.concatenate([self.prefix - np.maximum(self.places[a:b], i) for i, (a, b) in enumerate(spans)])
-        return np.bincount(rows, gain, self.n)
+        starts, ends = self.starts[order].tolist(), self.starts[order + 1].tolist()
+        need = sum(ends) - sum(starts)
+        if self.room is None or len(self.room[0]) < need:
+            self.room = np.empty(2 * need, np.int64), np.empty(2 * need)
+        rows, gain = self.room
+        at = 0
+        for place, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            to = at + b - a
+            rows[at:to] = self.rows[a:b]
+            np.minimum(self.worth[a:b], float(self.prefix - place), out=gain[at:to])
+            at = to
+        return np.bincount(rows[:at], gain[:at], self.n)
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -73,53 +83,64 @@ def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def _find(pivots: np.ndarray, norm: float, k: int, prefix: int, part: float, least: int):
-    def find(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        width = pivots.shape[1] - 1
-        x, asked = matrix(rows.vec, width), matrix(queries.vec, width)
-        ids = rows.id.to_numpy()
+class Index:
+    """A block's distinct vectors, their ids, and the pivots' files."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, norm: float, prefix: int):
         by = np.argsort(ids, kind="stable")
         # equal vectors are one entry with its ids in order
-        distinct, entry = np.unique(x[by], axis=0, return_inverse=True)
+        self.distinct, entry = np.unique(x[by], axis=0, return_inverse=True)
         entry = entry.ravel()
         members = np.argsort(entry, kind="stable")
-        ids = ids[by][members]
-        ends = np.searchsorted(entry[members], np.arange(len(distinct) + 1))
-        files = PivotFiles(orders(_lifted(distinct, norm), pivots, prefix), len(pivots))
+        self.ids = ids[by][members]
+        self.ends = np.searchsorted(entry[members], np.arange(len(self.distinct) + 1))
+        self.files = PivotFiles(orders(_lifted(self.distinct, norm), pivots, prefix), len(pivots))
+
+    def nearest(self, own: int, q: np.ndarray, order: np.ndarray, k: int, wanted: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of the ``wanted`` entries that are nearest by footrule, with all that tie."""
+        near = self.files.closeness(order)
+        found = np.flatnonzero(near >= np.partition(near, len(near) - wanted)[len(near) - wanted])
+        rough = self.distinct[found] @ q
+        if len(found) > k + 1:  # the query itself may be one
+            found = found[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - margin]
+        score = _products(self.distinct[found], q)
+        n = np.minimum(self.ends[found + 1] - self.ends[found], k + 1)
+        name = np.concatenate([self.ids[self.ends[f] : self.ends[f] + m] for f, m in zip(found, n, strict=True)])
+        score = np.repeat(score, n)
+        other = name != own
+        name, score = name[other], score[other]
+        keep = np.lexsort((name, -score))[:k]
+        return name[keep], score[keep]
+
+
+def _build(pivots: np.ndarray, norm: float, prefix: int):
+    return lambda rows: Index(rows.id.to_numpy(), matrix(rows.vec, pivots.shape[1] - 1), pivots, norm, prefix)
+
+
+def _probe(pivots: np.ndarray, norm: float, k: int, prefix: int, part: float, least: int):
+    def probe(queries: pd.DataFrame, index: Index) -> tuple[list, np.ndarray, np.ndarray]:
+        asked = matrix(queries.vec, pivots.shape[1] - 1)
         size = np.sqrt((asked * asked).sum(axis=1, keepdims=True))
         asked_orders = orders(np.column_stack([asked * (norm / size), np.zeros(len(asked))]), pivots, prefix)
-        wanted = min(len(distinct), max(least, int(np.ceil(part * len(distinct)))))
+        wanted = min(len(index.distinct), max(least, int(np.ceil(part * len(index.distinct)))))
         out_q, out_i, out_s = [], [], []
         for own, q, order in zip(queries.id, asked, asked_orders, strict=True):
-            near = files.closeness(order)
-            cut = np.partition(near, len(near) - wanted)[len(near) - wanted]
-            found = np.flatnonzero(near >= cut)
-            rough = distinct[found] @ q
-            if len(found) > k + 1:  # the query itself may be one
-                margin = 1e-9 * norm * norm
-                found = found[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - margin]
-            score = _products(distinct[found], q)
-            n = np.minimum(ends[found + 1] - ends[found], k + 1)
-            name = np.concatenate([ids[ends[f] : ends[f] + m] for f, m in zip(found, n, strict=True)])
-            score = np.repeat(score, n)
-            other = name != own
-            name, score = name[other], score[other]
-            keep = np.lexsort((name, -score))[:k]
-            out_q += [own] * len(keep)
-            out_i.append(name[keep])
-            out_s.append(score[keep])
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "vec_id": np.concatenate(out_i), "score": np.concatenate(out_s)})
-
-    return find
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256, prefix: int = 64, part: float = 0.12, least: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            name, score = index.nearest(own, q, order, k, wanted, 1e-9 * norm * norm)
+            out_q += [own] * len(name)
+            out_i.append(name)
+            out_s.append(score)
+        return out_q, np.concatenate(out_i), np.concatenate(out_s)
+
+    return probe
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 1024, prefix: int = 96, part: float = 0.12, least: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id long, rank int, vec_id long, score double``: each query's nearest found by inner product.
 
     ``is_query`` is a condition on ``id``. The index is fitted on a bounded sample,
     the 8 * ``pivots`` rows with the least hash of their id, of which it takes
-    the most spread-out as pivots; every row is posted. ``part`` of each block's distinct vectors, ``least`` of them at
-    least, is ranked again. Rows with a null id, a null or zero vector, or null
+    the most spread-out as pivots; every row is posted. ``part`` of each block's
+    distinct vectors, ``least`` of them at least, is ranked again. Rows with a null id, a null or zero vector, or null
     or non-finite components take no part. Shorter vectors are filled with
     zeros. Equal vectors are one entry of the index; their ids rank by size.
     """
@@ -129,4 +150,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256
     width = width or 1
     distinct = list({v.tobytes(): np.pad(v, (0, width - len(v))) for v in picked}.values()) or [np.ones(width)]
     centre = spread_out(_lifted(np.array(distinct), norm or 1.0), pivots)
-    return search(rows, is_query, _find(centre, norm or 1.0, k, min(prefix, len(centre)), part, least), k, "double")
+    norm, prefix = norm or 1.0, min(prefix, len(centre))
+    return search(rows, is_query, _build(centre, norm, prefix), _probe(centre, norm, k, prefix, part, least), k, "double")

@@ -1,7 +1,8 @@
-"""A stated set of query vectors against all vectors, dealt in bounded blocks."""
+"""A stated set of query vectors against all vectors: rows are indexed once, in bounded blocks, and probed by blocks of queries."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -9,9 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Vectors, and queries, that one task holds (on average, dealt by a hash of the id).
 ROWS = 8192
 QUERIES = 4096
+#: Centres that rows are dealt around at most, and rows of the sample for each.
+CENTRES, PER_CENTRE = 256, 32
+#: Blocks in one file of the index.
+BLOCKS_A_FILE = 8
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -31,27 +38,97 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def search(rows: DataFrame, is_query: Column, find: Callable, k: int, score: str) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the k best of what ``find`` returns for each pair of blocks.
+def by_hash(rows: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """Deals rows over ``ceil(n / ROWS)`` blocks by a hash."""
+    blocks = max(1, -(-n // ROWS))
+    return lambda df: df.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int"))
+
+
+def by_centre(rows: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """Deals rows to blocks of alike ones: by the nearest of some sampled centres, large ones in parts by a hash.
+
+    The sample is bounded: ``PER_CENTRE`` rows of least hash for each of
+    ``CENTRES`` centres at most. Counts of all rows by centre set the parts.
+    """
+    wanted = min(CENTRES, -(-n // ROWS))
+    if wanted < 2:
+        return by_hash(rows, n)
+    sample = [r["vec"] for r in rows.orderBy(F.xxhash64("id", F.lit(5)), "id", "vec").limit(PER_CENTRE * wanted).select("vec").collect()]
+    width = max(map(len, sample)) or 1
+    x = matrix(pd.Series(sample), width)
+    centres = x[:: max(1, len(x) // wanted)][:wanted]
+    for _ in range(8):
+        own = _near(x, centres)
+        centres = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+
+    def dealt(batches):
+        for frame in batches:
+            frame["centre"] = _near(matrix(frame.vec.map(lambda v: v[:width]), width), centres) if len(frame) else np.zeros(0, int)
+            yield frame
+
+    def near(df: DataFrame) -> DataFrame:
+        return df.select("id", "vec").mapInPandas(dealt, "id long, vec array<double>, centre int")
 
-    ``find(queries, rows)`` gets pandas frames (id, vec) and returns query_id,
-    vec_id and score, k rows a query at most. Every query block meets every row
-    block once; both are bounded, so one task's memory doesn't grow with the
-    table. An id that repeats is one query (its least vector), and each of its
-    rows a candidate of other queries.
+    counts = {r["centre"]: r["n"] for r in near(rows).groupBy("centre").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each centre
+    parts = [max(1, -(-counts.get(c, 0) // ROWS)) for c in range(len(centres))]
+    first = np.cumsum([0, *parts[:-1]]).tolist()
+    table = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("parts")) for a, b in zip(first, parts, strict=True)])
+    spread = table[F.col("centre")]
+    return lambda df: near(df).withColumn("block", (spread["first"] + F.pmod(F.xxhash64("id", "vec"), spread["parts"])).cast("int")).drop("centre")
+
+
+def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the centre nearest to each row."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(x @ centres.T - (centres * centres).sum(axis=1) / 2, nan=-np.inf).argmax(axis=1)
+
+
+def search(rows: DataFrame, is_query: Column, build: Callable, probe: Callable, k: int, score: str, deal: Callable = by_hash, home_first: bool = False) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the k best of what ``probe`` returns for each pair of blocks.
+
+    ``build`` makes the index of a block from a pandas frame (id, vec), once;
+    the indexes are a table in the shared folder. ``probe(queries, index)`` gets
+    a frame (id, vec, least) and returns query ids, ids and scores, k rows a
+    query at most. Every query block meets every row block once; both are
+    bounded, so one task's memory doesn't grow with the table. With
+    ``home_first`` queries first meet the block that they are dealt to, and
+    ``least`` is the score that others must reach from then on (else null). An
+    id that repeats is one query (its least vector), and each of its rows a
+    candidate of other queries.
     """
     wanted = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
     n, q = rows.count(), wanted.count()
-    n_rows, n_queries = max(1, -(-n // ROWS)), max(1, -(-q // QUERIES))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = wanted.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_queries)).cast("int").alias("q_qb"), every(n_rows).alias("q_rb"))
-    right = rows.select(F.col("id").alias("r_id"), F.col("vec").alias("r_vec"), F.pmod(F.xxhash64("id", "vec"), F.lit(n_rows)).cast("int").alias("r_rb"), every(n_queries).alias("r_qb"))
+    place = deal(rows, n)
+    n_queries = max(1, -(-q // QUERIES))
+
+    def indexed(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [frame.block.iloc[0]], "index": [pickle.dumps(build(frame[["id", "vec"]]), protocol=5)]})
+
+    blocks = materialize(place(rows).groupBy("block").applyInPandas(indexed, "block int, index binary"), "blocks", BLOCKS_A_FILE)
+    kind = "float64" if score == "double" else "int64"
 
     def both(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(members):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64" if score == "double" else "int64")})
-        return find(queries.rename(columns={"q_id": "id", "q_vec": "vec"}), members.rename(columns={"r_id": "id", "r_vec": "vec"}))
+        found = ([], [], [])
+        if len(queries) and len(members):
+            found = probe(queries.rename(columns={"q_id": "id", "q_vec": "vec", "q_least": "least"}), pickle.loads(members["index"].iloc[0]))
+        return pd.DataFrame({"query_id": np.asarray(found[0], "int64"), "vec_id": np.asarray(found[1], "int64"), "score": np.asarray(found[2], kind)})
 
-    found = left.groupBy("q_qb", "q_rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInPandas(both, f"query_id long, vec_id long, score {score}")
+    schema = f"query_id long, vec_id long, score {score}"
+    numbers = blocks.select("block")
+    asked = place(wanted).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("block").alias("q_home"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_queries)).cast("int").alias("q_qb"))
+    none = F.lit(None).cast(score).alias("q_least")
+    if home_first and n > ROWS:
+        own = asked.select("q_id", "q_vec", F.col("q_home").alias("q_block"), none)
+        first = materialize(own.groupBy("q_block").cogroup(blocks.groupBy("block")).applyInPandas(both, schema), "first")
+        least = first.groupBy(F.col("query_id").alias("q_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least"))
+        asked = asked.join(least, "q_id", "left").withColumn("q_least", F.when(F.col("_n") >= k, F.col("_least"))).drop("_n", "_least")
+        pairs = asked.join(F.broadcast(numbers) if n <= ROWS * CENTRES else numbers, F.col("block") != F.col("q_home")).withColumnRenamed("block", "q_block")
+    else:
+        pairs = asked.withColumn("q_least", none).join(F.broadcast(numbers) if n <= ROWS * CENTRES else numbers).withColumnRenamed("block", "q_block")
+        first = None
+    right = blocks.select(F.col("block").alias("r_block"), "index", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("r_qb"))
+    found = pairs.select("q_id", "q_vec", "q_least", "q_qb", "q_block").groupBy("q_qb", "q_block").cogroup(right.groupBy("r_qb", "r_block")).applyInPandas(both, schema)
+    if first is not None:
+        found = found.unionByName(first)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

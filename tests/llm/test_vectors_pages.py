@@ -47,7 +47,8 @@ def test_blocks_are_pruned():
     rng = np.random.default_rng(2)
     centres = rng.integers(-60, 60, (20, 32))
     codes = (centres[rng.integers(0, 20, 4000)] + rng.integers(-2, 3, (4000, 32))).astype(np.int64)
-    q, i, s = exact_topk.top_k(codes[:5], np.arange(5), codes, np.arange(4000), 10)
+    blocks = exact_topk.Blocks(codes, np.arange(4000))
+    q, i, s = blocks.top_k(codes[:5], np.arange(5), 10)
     for k in range(5):
         score = codes @ codes[k]
         score[k] = -(10**9)
@@ -55,6 +56,41 @@ def test_blocks_are_pruned():
         assert i[10 * k : 10 * k + 10] == best.tolist() and s[10 * k : 10 * k + 10] == score[best].tolist()
 
 
+def test_sums_of_any_size_are_exact(spark):
+    rng = np.random.default_rng(4)
+    for size in (2.0**18, 2.0**21, 2.0**45):  # codes in float64, in long, and past a long's sums
+        x = np.round(rng.normal(size=(120, 4)), 3) * size
+        x[:, 3] = 1 if size > 2**30 else x[:, 3]
+        x[::2, 0] = 0 if size > 2**30 else x[::2, 0]
+        rows = table(spark, [(i, [float(np.float32(v)) for v in row], 1.0, 1) for i, row in enumerate(x)])
+        query = exact_topk.exact_top_k(rows, F.col("id") % 20 == 0, 5)
+        if size > 2**30:
+            with pytest.raises(Exception, match="OverflowError"):
+                query.collect()
+            continue
+        codes = [[int(np.floor(64 * float(np.float32(v)))) for v in row] for row in x]
+        want = []
+        for q in range(0, 120, 20):
+            best = sorted((-sum(a * b for a, b in zip(codes[q], codes[i], strict=True)), i) for i in range(120) if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+        assert sorted(map(tuple, query.collect())) == want
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_of_the_index(spark, monkeypatch, n):
+    """With the query's own settings, over several blocks."""
+    monkeypatch.setattr(vectors, "ROWS", 1024)
+    rows = made(n, 9, d=64)
+    got = permutation_index.nearest(table(spark, rows), F.col("id") % 20 == 0).toPandas()
+    x = np.array([v for _, v, *_ in rows])
+    recall = []
+    for q, found in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(set(np.argsort(-score)[:20]) & set(found.vec_id)) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
 def test_few_candidates_and_repeated_ids(spark):
     rows = [(0, [1.0, 0.0], 1.0, 1), (0, [0.5, 0.0], 1.0, 1), (1, [1.0, 1.0], 1.0, 1), (20, [0.0, 1.0], 1.0, 1)]
     got = exact_topk.exact_top_k(table(spark, rows), F.col("id") % 20 == 0, 20).collect()
