@@ -12,6 +12,7 @@ rank, so the packing equals that of one sequential pass over all pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,6 +37,12 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Between a Latin letter and one of these marks the tokenizer always begins a new word.
 _MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,%&$#*!?:;-]")
 _WIDE = re.compile("[^\x00-\xff]")
+# How the public word vocabulary's tokenizer normalises texts and cuts them into words.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+]
 
 
 class OpenWindows:
@@ -113,7 +120,9 @@ class WordIds:
     fewer distinct words, marks are set apart from the letters before them and
     texts of the first 256 characters, where it goes letter by letter, are put
     in lower case, which the tokenizer does as well; texts that may hold a
-    special token are left as they are.
+    special token are left as they are. All this holds for tokenizers that
+    normalise and cut texts as ``_NORMAL`` and ``_CUT`` say; any other gets whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -121,6 +130,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        own = [{k: v for k, v in x.items() if k in ("type", "pattern", "behavior", "invert", "add_prefix_space", "use_regex")} for x in ((made["pre_tokenizer"] or {}).get("pretokenizers") or [])]
+        self.by_words = ((made["normalizer"] or {}).get("normalizers"), own, made["model"].get("end_of_word_suffix")) == (_NORMAL, _CUT, "</w>")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -162,6 +174,8 @@ class WordIds:
             self.known.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         split = [None if _ODD.search(t) else list(self.parts(t)) for t in texts]

@@ -7,17 +7,23 @@ needs each distinct word once. New words are sorted, which makes neighbours
 share prefixes, and walked depth first as one trie: the forward state of a
 prefix is kept on a stack and reused by all words that begin with it.
 
-The vocabulary is a BPE one: its scores order merges and don't add up, so the
-Viterbi recursion keeps, for every prefix, the last piece of that prefix's own
-encoding in place of a sum. A piece may follow a prefix's last piece if merging
-the two alone gives them back; exactly one piece does for each prefix, and the
-sequence is the encoding that merging by scores yields. Words with a run of
-marks, whose pieces tie, are merged directly.
+For a unigram model that state is Viterbi's: the best sum of scores of pieces
+that make the prefix, and where its last piece begins; ties go to the longer
+last piece. Sums are single-precision ones, as the library's, but begin anew at
+each marked word.
+
+A BPE model's scores order merges and don't add up, so there the recursion
+keeps, for every prefix, the last piece of that prefix's own encoding in place
+of a sum. A piece may follow a prefix's last piece if merging the two alone
+gives them back; exactly one piece does for each prefix, and the sequence is the
+encoding that merging by scores yields. Words with a run of marks, whose pieces
+tie, are merged directly.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,13 +41,72 @@ CACHE = 300_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+# Fixed values of the public model format: kinds of models and of pieces, and numbers of fields.
+UNIGRAM, BPE = 1, 2
+_USER_DEFINED, _UNUSED = 4, 5
+_PIECE, _TRAINER, _NORMALIZER, _PIECE_KIND, _MODEL_KIND, _SUFFIX, _CHARACTERS, _PREFIX, _TRIM, _ESCAPE = 1, 2, 3, 3, 3, 24, 2, 3, 4, 5
+#: What an unknown character's score is below the least of all pieces.
+_UNKNOWN_COST = 10.0
+
+
+def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a serialised message's fields."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = blob[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(blob):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = number() if key & 7 == 2 else 4 if key & 7 == 5 else 8
+            yield key >> 3, blob[at : at + n]
+            at += n
+
+
+def model_kind(blob: bytes) -> int:
+    """``UNIGRAM`` or ``BPE``; ValueError for a model whose texts are normalised or cut in ways that aren't built here."""
+    trainer, normalizer = {}, {}
+    for field, value in _fields(blob):
+        if field == _PIECE and dict(_fields(value)).get(_PIECE_KIND, 1) in (_USER_DEFINED, _UNUSED):
+            raise ValueError("the vocabulary has user-defined or unused pieces")
+        if field == _TRAINER:
+            trainer = dict(_fields(value))
+        elif field == _NORMALIZER:
+            normalizer = dict(_fields(value))
+    kind = trainer.get(_MODEL_KIND, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("the model is neither a unigram nor a BPE one")
+    if normalizer.get(_CHARACTERS) or normalizer.get(_TRIM, 1) or not normalizer.get(_PREFIX, 1) or not normalizer.get(_ESCAPE, 1) or trainer.get(_SUFFIX):
+        raise ValueError("the model normalises texts, or marks words in another way than by a space before them")
+    return kind
+
+
+def _single(x: float) -> float:
+    """Rounded to single precision."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 class PieceCodec:
-    """Encodes and decodes texts with a BPE SentencePiece model with byte fallback."""
+    """Encodes and decodes texts with a unigram or BPE SentencePiece model with byte fallback."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            blob = f.read()
+        self.kind = model_kind(blob)
+        model = sentencepiece.SentencePieceProcessor(model_proto=blob)
         n = model.get_piece_size()
         special = [i for i in range(n) if model.is_control(i) or model.is_unknown(i)]
         self.byte = [0] * 256
@@ -59,6 +124,10 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
                 self.raw.append(piece.encode())
+        if not any(self.byte):
+            raise ValueError("the vocabulary has no pieces for bytes")
+        self.unknown = _single(min(self.score.values(), default=0.0) - _UNKNOWN_COST)
+        self.longest = max(map(len, self.ids), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces over more than one marked word")
         #: Ends of pieces; true for whole pieces.
@@ -132,8 +201,42 @@ class PieceCodec:
                 out.append(i)
         return out.tobytes()
 
+    def _learn_by_sums(self, new: set[str]) -> None:
+        """Viterbi over the words' trie; sums[i] and stack[i] are those of the prefix of i characters."""
+        known = self.score.get
+        before, stack, sums = "", [0], [0.0]
+        for word in sorted(new):
+            shared = 0
+            for x, y in zip(before, word):  # noqa: B905
+                if x != y:
+                    break
+                shared += 1
+            del stack[shared + 1 :], sums[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                best, at = None, i - 1
+                for j in range(max(0, i - self.longest), i):
+                    score = known(word[j:i])
+                    if score is None:
+                        if j < i - 1:
+                            continue
+                        score = self.unknown
+                    total = _single(sums[j] + score)
+                    if best is None or total > best:
+                        best, at = total, j
+                stack.append(at)
+                sums.append(best)
+            before = word
+            parts, i = [], len(word)
+            while i:
+                parts.append(word[stack[i] : i])
+                i = stack[i]
+            self.words[word] = self._ids(parts[::-1])
+
     def learn(self, new: set[str]) -> None:
         """Encodes words that aren't known, sharing the states of common prefixes."""
+        if self.kind == UNIGRAM:
+            self._learn_by_sums(new)
+            return
         if len(self.pairs) > CACHE:
             self.pairs.clear()
         ends, pairs, follows = self.ends.get, self.pairs.get, self._follows

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import discard, materialize, ranked
 from .packing import RUNS
 
 
@@ -119,9 +119,15 @@ def place_groups(groups: DataFrame, key: list[str], size: str, shards: int | Non
     """``groups`` with ``shard int``; with ``shards`` near-equal ones, with ``capacity`` as few of that capacity as found.
 
     ``key`` tells groups apart; ``size`` is a positive long. A group larger than
-    ``capacity`` raises ValueError.
+    ``capacity`` raises ValueError; one that fills a shard alone fits. Sizes of
+    65,536 and more count as their class, up to a 1,024th more than they are, so
+    that shards of a fixed capacity may be that much emptier than could be. The
+    result reads a scratch table, which ``discard`` takes with it.
     """
-    groups = materialize(groups.withColumn("_class", size_class(F.col(size))), "groups")
+    by = size_class(F.col(size))
+    if capacity is not None:
+        by = F.when(F.col(size) <= capacity, F.least(by, F.lit(capacity))).otherwise(by).cast("long")
+    groups = materialize(groups.withColumn("_class", by), "groups")
     counts = {r["_class"]: r["n"] for r in groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the number of classes
     runs = near_equal(counts, shards) if capacity is None else best_fit_decreasing(counts, capacity)
     if runs is None:
@@ -130,7 +136,9 @@ def place_groups(groups: DataFrame, key: list[str], size: str, shards: int | Non
     if len(runs) <= RUNS:
         placed = F.broadcast(placed)
     at = ranked(groups, ["_class"], key, max(8, sum(counts.values()) // 50_000))
-    return at.join(placed, (F.col("_class") == F.col("_size")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi"))).select(*groups.columns[:-1], "shard")
+    found = at.join(placed, (F.col("_class") == F.col("_size")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi"))).select(*groups.columns[:-1], "shard")
+    found._scratch = groups._scratch
+    return found
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -146,7 +154,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash")), "sizes")
     key = ["_hash", "text_crc32", "size"]
     groups = rows.groupBy(*key).agg((F.count(F.lit(1)) * F.col("size")).alias("_bytes"))
-    placed = place_groups(groups, key, "_bytes", shards).select(*key, "shard")
-    sharded = materialize(rows.join(placed, key).select("doc_id", "size", "text_crc32", "_hash", "shard"), "sharded")
+    placed = place_groups(groups, key, "_bytes", shards)
+    sharded = materialize(rows.join(placed.select(*key, "shard"), key).select("doc_id", "size", "text_crc32", "_hash", "shard"), "sharded")
+    discard(rows, placed)
     n = sharded.count()
     return ranked(sharded, ["shard"], ["doc_id", "_hash"], max(8, n // (50_000 * shards))).select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from array import array
 from collections import Counter
@@ -280,9 +281,80 @@ def test_capacity(spark):
         sharding.place_groups(groups, ["g"], "size", capacity=12)
 
 
+def test_a_group_that_fills_a_shard_alone(spark):
+    groups = spark.createDataFrame([(i, 1_000_000) for i in range(3)] + [(3, 70_000), (4, 930_000)], "g int, size long")
+    placed = sharding.place_groups(groups, ["g"], "size", capacity=1_000_000).toPandas()
+    assert placed.groupby("shard")["size"].sum().max() <= 1_000_000 and placed.shard.nunique() in (4, 5)
+    with pytest.raises(ValueError):
+        sharding.place_groups(groups, ["g"], "size", capacity=999_999)
+
+
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = ["Hello, World!  Two  spaces", "x\ny", "", "it's ÀÉ"]
+    library = Tokenizer.from_file(path)
+    own = packing.WordIds(path)
+    assert not own.by_words and packing.WordIds(tokenizer_file("word_bpe_49k.json")).by_words
+    assert [array("I", b).tolist() for b in own(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # pieces
 
 
+def field(number, value):
+    """A field of a serialised message: whole numbers, single-precision ones, bytes."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, pieces_, kind=1, trim=0, charsmap=b""):
+    """A small SentencePiece model with byte pieces and the given scores; nothing is trained."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], *[(p, s, 1) for p, s in pieces_]]
+    blob = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in rows)
+    blob += field(2, field(3, kind) + field(35, 1) + field(40, 0) + field(41, 1) + field(42, 2))
+    blob += field(3, field(1, b"identity") + (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, trim) + field(5, 1))
+    path.write_bytes(blob)
+    return str(path)
+
+
+def test_unigram_pieces_equal_the_library(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(7)
+    letters = "abcde▁é"
+    vocabulary = {c: -rng.uniform(4, 6) for c in "abcd▁"}
+    for _ in range(150):
+        p = rng.choice(["", "▁"]) + "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5)))
+        vocabulary[p] = -rng.uniform(2, 9)
+    vocabulary["▁▁"] = -3.5
+    path = model_file(tmp_path / "m.model", list(vocabulary.items()))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path)
+    assert own.kind == pieces.UNIGRAM
+    texts = ["".join(rng.choice(letters.replace("▁", " ")) for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    texts += ["", " ", "   a", "a   ", "日本 a", "e" * 30, "abc " * 50]
+    for t, blob in zip(texts, own.encode(texts), strict=True):
+        assert array("I", blob).tolist() == library.encode(t) and own.decode(blob) == library.decode(library.encode(t))
+
+
+def test_models_that_cannot_be_read_raise(tmp_path):
+    some = [("▁a", -1.0), ("a", -2.0), ("▁", -3.0)]
+    for name, made in (("word", {"kind": 3}), ("trim", {"trim": 1}), ("map", {"charsmap": b"x"})):
+        with pytest.raises(ValueError):
+            pieces.PieceCodec(model_file(tmp_path / name, some, **made))
+    with pytest.raises(ValueError):
+        pieces.PieceCodec(model_file(tmp_path / "crossing", [*some, ("a▁b", -1.0)]))
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
