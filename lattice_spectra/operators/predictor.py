@@ -59,6 +59,35 @@ def ridge_predict(rows: DataFrame, fitted: DataFrame, features: Sequence[str], b
     return rows.join(fitted, list(by)).withColumn("yhat", F.col("intercept") + dot).drop("intercept", "coefficients")
 
 
+def ridge_solver(alpha: float = 1.0) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """An estimator function for ``cross_validate``: ridge regression in a task of its own for each network and fold."""
+
+    def solve(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
+        mean = x.mean(axis=0)
+        w = np.linalg.solve((x - mean).T @ (x - mean) + alpha * np.eye(x.shape[1]), (x - mean).T @ (y - y.mean()))
+        return y.mean() + (new - mean) @ w
+
+    return solve
+
+
+def predicted_by(rows: DataFrame, columns: Sequence[str], estimate: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], by: Sequence[str]) -> DataFrame:
+    """Test rows with ``yhat`` from ``estimate(x_train, y_train, x_test)``, called in a task for each group.
+
+    ``rows`` has ``is_test``; training rows with a null don't count. A group
+    without training rows gives null predictions.
+    """
+    own = rows.select(*by, "node_id", "is_test", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    wide = [f"_x{i}" for i in range(len(columns))]
+
+    def call(frame: pd.DataFrame) -> pd.DataFrame:
+        test, train = frame[frame.is_test], frame[~frame.is_test].dropna(subset=[*wide, "y"])
+        yhat = estimate(train[wide].to_numpy(float), train.y.to_numpy(float), test[wide].to_numpy(float)) if len(train) and len(test) else np.full(len(test), np.nan)
+        return test[[*by, "node_id", "y"]].assign(yhat=np.asarray(yhat, float))
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by, "node_id").schema)
+    return own.groupBy(*by).applyInPandas(call, f"{keys}, y double, yhat double")
+
+
 def kfold(nodes: DataFrame, n_folds: int = 5, seed: int = 42, by: Sequence[str] = ("network",)) -> DataFrame:
     """``nodes`` with ``fold``: shuffled by a hash of id and seed, cut into runs of which the first are one longer."""
     order = Window.partitionBy(*by).orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id")
@@ -107,7 +136,7 @@ def nystrom_extend(modes: DataFrame, near: DataFrame, sigma: DataFrame, by: Sequ
 
 def _first_modes(nodes: DataFrame, k: int, k_nn: int, sigma, graph_type: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     weights, widths = knn.build_graph(nodes, graph_type, k_nn, sigma, by)
-    pairs = spectrum.spectral_decomposition(laplacian.symmetric_normalised(weights, nodes.select(*by, "node_id"), by), by=by)
+    pairs = spectrum.spectral_decomposition(laplacian.symmetric_normalised(weights, nodes.select(*by, "node_id"), by), k, by=by, clip=True)
     return spectrum.modes_long(pairs.where(F.col("mode") < k), by), widths
 
 
@@ -149,8 +178,11 @@ def cross_validate(nodes: DataFrame, features: Sequence[str], k: int = 16, n_fol
     """``(scores, predictions)``: ``network, fold, baseline, augmented`` and ``network, fold, node_id, y, yhat_base, yhat_aug``.
 
     Without an ``estimator`` ridge regression of penalty ``alpha`` is solved for
-    all networks and folds in one plan. An ML estimator is fitted once for each
-    network and fold. ``scoring(y, yhat)`` replaces r2.
+    all networks and folds in one plan. A function ``estimator(x_train, y_train,
+    x_test)`` runs in a task for each network and fold, so any number of them
+    runs at once. An ML estimator is itself distributed and fitted once for each
+    network and fold, one after the other: use it for few large networks.
+    ``scoring(y, yhat)`` replaces r2.
     """
     by = ["network", "fold"]
     folded = nodes if "fold" in nodes.columns else kfold(nodes, n_folds, seed)
@@ -162,6 +194,8 @@ def cross_validate(nodes: DataFrame, features: Sequence[str], k: int = 16, n_fol
         train, test = rows.where("not is_test"), rows.where("is_test")
         if estimator is None:
             return ridge_predict(test, ridge_fit(train, columns, alpha, by), columns, by).select(*by, "node_id", "y", F.col("yhat").alias(name))
+        if not hasattr(estimator, "fit"):
+            return predicted_by(rows, columns, estimator, by).select(*by, "node_id", "y", F.col("yhat").alias(name))
         whole = None
         assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
         for r in rows.select(*by).distinct().collect():  # one model each; as many as networks times folds
@@ -197,7 +231,7 @@ class SpectralRegressor:
     def fit(self, nodes: DataFrame, features: Sequence[str], train_column: str | None = None) -> SpectralRegressor:
         """Fits on rows whose ``train_column`` is true, or all."""
         weights, _ = knn.build_graph(nodes, self.graph_type, self.k_nn, self.sigma)
-        self.pairs = spectrum.spectral_decomposition(laplacian.symmetric_normalised(weights, nodes)).persist()
+        self.pairs = spectrum.spectral_decomposition(laplacian.symmetric_normalised(weights, nodes), self.k, clip=True).persist()
         modes = spectrum.modes_long(self.pairs.where(F.col("mode") < self.k))
         if self.standardise:
             modes = modes.withColumn("psi", scaled("psi", ["network", "mode"]))

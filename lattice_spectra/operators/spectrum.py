@@ -1,8 +1,10 @@
 """Eigenpairs of graph Laplacians and statistics of modes and eigenvalues.
 
 Symmetric eigendecomposition isn't relational: each network is one group of an
-Arrow function, so any number of networks runs in parallel. A network too large
-for one task goes through distributed singular values instead.
+Arrow function, so any number of networks runs in parallel. Where some modes of a
+larger network are asked for, they come from its sparse rows without a dense
+matrix. A network too large for one task goes through distributed singular values
+instead.
 """
 
 from __future__ import annotations
@@ -13,6 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WHICH = ("smallest", "largest", "both")
+#: Nodes up to which a network's matrix is decomposed whole; beyond, up to a ``SHARE``-th of its modes come from sparse rows.
+DENSE = 1_500
+SHARE = 16
+#: Degree of the filter, passes at most, and residual over the matrix's size at which a pair is done.
+DEGREE, PASSES, RESIDUAL = 40, 200, 1e-10
+#: Nodes up to which a part whose pairs don't settle is decomposed whole.
+WHOLE = 10_000
 
 
 def signed(vectors: np.ndarray) -> np.ndarray:
@@ -46,21 +55,133 @@ def dense(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def spectral_decomposition(laplacian: DataFrame, k: int | None = None, which: str = "smallest", by: list[str] | None = None) -> DataFrame:
+def parts_of(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's connected part."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rows, label[cols])
+        np.minimum.at(new, cols, label[rows])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def sparse_eigen(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, k: int, which: str = "smallest") -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest or largest eigenpairs of a symmetric matrix from its entries.
+
+    Connected parts are solved one by one, so that eigenvalues that parts have in
+    common are found as often as they occur; small parts are made dense, others go
+    through Chebyshev-filtered subspaces. Memory is that of the entries and of
+    some blocks of vectors.
+    """
+    if which not in ("smallest", "largest") or not 1 <= k < n:
+        raise ValueError("which must be 'smallest' or 'largest', k from 1 to n - 1")
+    part = parts_of(rows[values != 0], cols[values != 0], n)
+    found = []
+    for name in np.unique(part):
+        own = np.flatnonzero(part == name)
+        mine = np.flatnonzero((part[rows] == name) & (part[cols] == name))
+        i, j, v, most = np.searchsorted(own, rows[mine]), np.searchsorted(own, cols[mine]), values[mine], min(k, len(own))
+        pairs = _filtered(i, j, v, len(own), most, which) if len(own) > 8 * most else None
+        if pairs is None:
+            if len(own) > max(WHOLE, 8 * most):
+                raise ValueError("the wanted eigenpairs didn't settle")
+            whole = np.zeros((len(own), len(own)))
+            np.add.at(whole, (i, j), v)
+            pairs = np.linalg.eigh((whole + whole.T) / 2)
+            pairs = (pairs[0][:most], pairs[1][:, :most]) if which == "smallest" else (pairs[0][-most:], pairs[1][:, -most:])
+        found += [(float(x), own, pairs[1][:, c]) for c, x in enumerate(pairs[0])]
+    found.sort(key=lambda x: x[0])
+    found = found[:k] if which == "smallest" else found[-k:]
+    vectors = np.zeros((n, k))
+    for c, (_, own, vector) in enumerate(found):
+        vectors[own, c] = vector
+    return np.array([x for x, *_ in found]), vectors
+
+
+def _filtered(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, k: int, which: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Eigenpairs of one end, ascending; None if they don't settle.
+
+    A block of k and some more vectors goes through a polynomial that is small
+    on the unwanted part of the spectrum and grows fast beyond it, and is solved
+    within, until the residuals of the wanted pairs are at rounding level.
+    """
+    sign = 1.0 if which == "smallest" else -1.0
+    every = np.arange(n)
+    rows, cols, values = np.r_[rows, every], np.r_[cols, every], np.r_[values * sign, np.zeros(n)]
+    order = np.lexsort((cols, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    starts = np.searchsorted(rows, every)
+    radius = np.add.reduceat(np.where(rows == cols, 0.0, np.abs(values)), starts)
+    middle = np.add.reduceat(np.where(rows == cols, values, 0.0), starts)
+    top, size = float((middle + radius).max()), float((np.abs(middle) + radius).max()) or 1.0
+    step = max(1, (1 << 21) // max(1, len(values) // n))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            a, b = starts[lo], starts[hi] if hi < n else len(values)
+            for c in range(x.shape[1]):  # a column at a time is gathered from the cache
+                out[lo:hi, c] = np.add.reduceat(values[a:b] * x[cols[a:b], c], starts[lo:hi] - a)
+        return out
+
+    width = min(n, k + max(8, k // 2))
+    x = np.linalg.qr(np.random.default_rng(2718).standard_normal((n, width)))[0]
+    x[:, 0] = np.sqrt(np.maximum(middle + radius, 0)) + 1e-3  # near a Laplacian's own first mode
+    x = np.linalg.qr(x)[0]
+    for _ in range(PASSES):
+        ax = times(x)
+        ritz, turn = np.linalg.eigh((x.T @ ax + ax.T @ x) / 2)
+        x, ax = x @ turn, ax @ turn
+        left = np.sqrt(((ax[:, :k] - x[:, :k] * ritz[:k]) ** 2).sum(axis=0)).max()
+        if left <= RESIDUAL * size or width == n:
+            found = ritz[:k] * sign, x[:, :k]
+            return found if which == "smallest" else (found[0][::-1], found[1][:, ::-1])
+        low, cut = ritz[0], min(ritz[-1], top - 1e-9 * size)
+        centre, half = (top + cut) / 2, max((top - cut) / 2, 1e-12 * size)
+        scale = half / (low - centre)
+        first = scale
+        before, now = x, (ax - centre * x) * (first / half)
+        for _ in range(DEGREE - 1):  # a scaled Chebyshev recursion, 1 at the lowest value
+            new = 1 / (2 / first - scale)
+            before, now = now, (times(now) - centre * now) * (2 * new / half) - before * (scale * new)
+            scale = new
+        x = np.linalg.qr(now)[0]
+    return None
+
+
+def spectral_decomposition(laplacian: DataFrame, k: int | None = None, which: str = "smallest", by: list[str] | None = None, clip: bool = False) -> DataFrame:
     """``network, mode, lambda, node_ids, psi``: a row for each eigenpair, modes numbered by rising eigenvalue.
 
     ``psi`` and ``node_ids`` are arrays in one order. The lineage of a network
-    is its rows of the Laplacian; it must fit one task.
+    is its rows of the Laplacian; it must fit one task. With ``k``, a network of
+    over ``DENSE`` nodes and ``SHARE`` times k is never made dense; eigenvalues
+    are the same to rounding. ``clip`` gives a network of k nodes or fewer all
+    of its modes, where it would be an error.
     """
     by = by or ["network"]
     if which not in WHICH:
         raise ValueError(f"which must be one of {WHICH}")
 
+    def pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.unique(np.concatenate([frame.src.to_numpy(), frame.dst.to_numpy()]))
+        n, most = len(ids), k
+        if k is not None and clip and k >= n:
+            most = None
+        if most is not None and n > DENSE and SHARE * most <= n:
+            entries = np.searchsorted(ids, frame.src), np.searchsorted(ids, frame.dst), frame.v.to_numpy(float)
+            ends = [sparse_eigen(*entries, n, most, e) for e in (("smallest", "largest") if which == "both" else (which,))]
+            values, vectors = np.concatenate([v for v, _ in ends]), signed(np.concatenate([x for _, x in ends], axis=1))
+        else:
+            values, vectors = eigen(dense(frame)[1], most, which)
+        modes = np.arange(len(values)) if most is None or which == "smallest" else np.arange(n - most, n) if which == "largest" else np.r_[np.arange(most), np.arange(n - most, n)]
+        return ids, modes, values, vectors
+
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, matrix = dense(frame)
-        values, vectors = eigen(matrix, k, which)
-        n = len(ids)
-        modes = np.arange(len(values)) if k is None or which == "smallest" else np.arange(n - k, n) if which == "largest" else np.r_[np.arange(k), np.arange(n - k, n)]
+        ids, modes, values, vectors = pairs(frame)
         out = {c: [frame[c].iloc[0]] * len(values) for c in by}
         return pd.DataFrame(out | {"mode": modes, "lambda": values, "node_ids": [ids.tolist()] * len(values), "psi": list(vectors.T)})
 

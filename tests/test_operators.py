@@ -118,6 +118,43 @@ def test_local_spectra_equal_the_relational_ones(made, city):
     assert np.allclose(a["lambda"], b["lambda"]) and np.allclose(a.ipr[unique], b.ipr[unique])
 
 
+def rings(n, parts):
+    """Entries of the normalised Laplacian of random weighted graphs near rings, in some parts."""
+    rng = np.random.default_rng(n + parts)
+    size = n // parts
+    a = np.concatenate([np.arange(n)] * 3)
+    b = np.concatenate([p * size + (np.arange(size) + s) % size for s in (1, 2, 5) for p in range(parts)])
+    w = np.zeros((n, n))
+    w[a, b] = rng.uniform(0.2, 1, len(a))
+    return profile.local_laplacian((w + w.T) / 2)
+
+
+@pytest.mark.parametrize(("n", "parts", "k"), [(400, 1, 12), (400, 4, 12), (400, 40, 12), (60, 1, 30)])
+def test_sparse_modes_equal_dense_ones(n, parts, k):
+    matrix = rings(n, parts)
+    i, j = np.nonzero(matrix)
+    values, vectors = np.linalg.eigh(matrix)
+    for which, want in (("smallest", slice(0, k)), ("largest", slice(n - k, n))):
+        got, psi = spectrum.sparse_eigen(i, j, matrix[i, j], n, k, which)
+        assert np.abs(got - values[want]).max() < 1e-10
+        assert np.abs(matrix @ psi - psi * got).max() < 1e-9 and np.abs(psi.T @ psi - np.eye(k)).max() < 1e-9
+    with pytest.raises(ValueError):
+        spectrum.sparse_eigen(i, j, matrix[i, j], n, n)
+
+
+def test_partial_pairs_by_either_way(city, made, monkeypatch):
+    lap = laplacian.symmetric_normalised(made.weights, city)
+    full = {r["mode"]: r["lambda"] for r in made.pairs.collect()}
+    for limit in (10, 10_000):
+        monkeypatch.setattr(spectrum, "DENSE", limit)
+        for which in spectrum.WHICH:
+            found = spectrum.spectral_decomposition(lap, 5, which).collect()
+            assert len(found) == (10 if which == "both" else 5) and all(abs(r["lambda"] - full[r["mode"]]) < 1e-9 for r in found)
+    assert spectrum.spectral_decomposition(lap, 500, clip=True).count() == 80
+    with pytest.raises(Exception, match="k must be"):
+        spectrum.spectral_decomposition(lap, 500).collect()
+
+
 def test_participation_of_known_vectors(spark):
     rows = [("x", 0, i, 1.0) for i in range(10)] + [("x", 1, i, float(i == 3)) for i in range(10)] + [("x", 2, i, 0.0) for i in range(10)]
     got = {r["mode"]: r["ipr"] for r in spectrum.ipr_long(spark.createDataFrame(rows, "network string, mode int, node_id int, psi double")).collect()}
@@ -264,6 +301,8 @@ def test_permutation_of_strong_blocks(spark):
     assert abs(same["observed"] - row["observed"]) < 1e-12
     with pytest.raises(ValueError):
         inference.permutation_test(sim, [0], [1, 2, 3])
+    whole = inference.permutation_test(sim, range(4), range(4, 8), exact=True).first()
+    assert whole["n_perm"] == 70 and abs(whole["p_value"] - 2 / 70) < 1e-12 and abs(whole["observed"] - row["observed"]) < 1e-12
     alone = spark.createDataFrame([(0, "A"), (1, "B")], "name int, grp string")
     assert np.isnan(inference.block_contrast(sim, alone).first()["contrast"])
 
@@ -289,6 +328,17 @@ def test_modes_help(city, protocol):
     assert predictions.count() == 80 and predictions.where("yhat_aug is null").count() == 0
 
 
+def test_estimator_functions_equal_the_closed_form(city):
+    from pyspark.ml.regression import LinearRegression
+
+    own = predictor.kfold(city, 3)
+    key = lambda found: [(r["fold"], round(r["baseline"], 9), round(r["augmented"], 9)) for r in found[0].orderBy("fold").collect()]
+    plain = key(predictor.cross_validate(own, ["x1", "x2"], 4))
+    assert key(predictor.cross_validate(own, ["x1", "x2"], 4, estimator=predictor.ridge_solver(1.0))) == plain
+    model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=0.001, solver="normal")
+    assert predictor.cross_validate(own, ["x1"], 2, estimator=model)[0].count() == 3
+
+
 def test_bad_protocol(city):
     with pytest.raises(ValueError):
         predictor.cross_validate(city, ["x1"], protocol="other")
