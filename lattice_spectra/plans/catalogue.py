@@ -89,6 +89,16 @@ def knn_geo_grid(s, d):
     return knn.knn_geographic(_nodes(s, d), K, method="grid").select("network", "src", "dst", _r("d", 6), "rk")
 
 
+def knn_geo_large(s, d):
+    """Orders as the nodes of one network, through the grid."""
+    return knn.knn_geographic(_order_places(s, d), 3, method="grid").select("network", "src", "dst", _r("d", 5), "rk")
+
+
+def _order_places(s: SparkSession, d: str) -> DataFrame:
+    part = lambda factor: F.col("o_orderkey") * F.lit(factor) - F.floor(F.col("o_orderkey") * F.lit(factor))
+    return _table(s, d, "orders").select(F.lit(0).alias("network"), F.col("o_orderkey").alias("node_id"), (48.8 + 0.1 * part(0.6180339887498949)).alias("lat"), (2.3 + 0.1 * part(0.7548776662466927)).alias("lng"))
+
+
 def knn_feature_edges(s, d):
     return knn.knn_feature(sources.embeddings(s, d), K).select("network", "src", "dst", _r("d"), "rk")
 
@@ -299,7 +309,7 @@ def similarity_matrix(s, d):
 
 
 def similarity_wide(s, d):
-    return compare.wide_matrix(compare.similarity_matrix(_spec(s, d)), list(range(25)))
+    return compare.wide_matrix(compare.similarity_matrix(_spec(s, d)).select("a", "b", _r("s")), list(range(25)))
 
 
 def multiscale(s, d):
@@ -337,9 +347,9 @@ def block_contrast(s, d):
     return inference.block_contrast(_similar(s, d), _groups(s, d)).select(*[_r(c) for c in ("within_a", "within_b", "between", "contrast")])
 
 
-def _permuted(s, d, parity=False):
+def _permuted(s, d, n_perm=10_000, **how):
     nation = {r["name"]: r["grp"] for r in _groups(s, d).collect()}
-    return inference.permutation_test(_similar(s, d), sorted(k for k, g in nation.items() if g == "A"), sorted(k for k, g in nation.items() if g == "B"), 500, parity=parity)
+    return inference.permutation_test(_similar(s, d), sorted(k for k, g in nation.items() if g == "A"), sorted(k for k, g in nation.items() if g == "B"), n_perm, **how)
 
 
 def permutation_test(s, d):
@@ -347,7 +357,12 @@ def permutation_test(s, d):
 
 
 def permutation_observed(s, d):
-    return _permuted(s, d, True).select(_r("observed"), "n_perm")
+    return _permuted(s, d, 500, parity=True).select(_r("observed"), "n_perm")
+
+
+def permutation_exact(s, d):
+    """Every split of the members once."""
+    return _permuted(s, d, exact=True).select(*[_r(c) for c in ("observed", "null_mean", "null_std", "p_value")], "n_perm")
 
 
 def block_similarity_diag(s, d):
@@ -403,12 +418,23 @@ def _cv(protocol):
 
 
 def cv_estimator(s, d):
-    """An ML estimator on the regions' networks, one model for each network and fold."""
+    """An estimator function on the regions' networks, called in a task for each network and fold."""
     own = sources.customers(s, d, "n_regionkey").where("y is not null").select("network", "node_id", "lat", "lng", (F.col("x1") / 10000).alias("x1"), (F.col("y") / 100000).alias("y"))
-    from pyspark.ml.regression import LinearRegression
+    return predictor.cv_summary(predictor.cross_validate(own, ["x1"], 16, 5, estimator=predictor.ridge_solver(1.0))[0])
+
 
-    model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=0.01, solver="normal")
-    return predictor.cv_summary(predictor.cross_validate(own, ["x1"], 4, 2, estimator=model)[0])
+def _one_mode(s, d, **how):
+    """Cross-validation on one feature and the first mode, which SQL can solve; folds are the ids' remainders."""
+    own = _nodes(s, d).select("network", "node_id", "lat", "lng", (F.col("x1") / 10000).alias("x1"), (F.coalesce("y", F.lit(0.0)) / 100000).alias("y"), (F.col("node_id") % 5).cast("int").alias("fold"))
+    return predictor.cross_validate(own, ["x1"], 1, **how)[0].select("network", "fold", _r("baseline", 6), _r("augmented", 6))
+
+
+def cv_one_mode(s, d):
+    return _one_mode(s, d)
+
+
+def cv_estimator_one_mode(s, d):
+    return _one_mode(s, d, estimator=predictor.ridge_solver(1.0))
 
 
 def ridge_fit(s, d):
@@ -466,7 +492,12 @@ def cv_means(s, d):
 
 
 def comparison_panel(s, d):
-    return plotdata.comparison_data(_spec(s, d), 0, 1)[0]
+    return plotdata.comparison_data(_spec(s, d), 0, 1)[0].select("network", "kind", "bin", _r("left", 6), _r("width", 6), _r("density", 6))
+
+
+def comparison_statistics(s, d):
+    """The panel's rows of statistics."""
+    return plotdata.comparison_data(_spec(s, d), 0, 1)[1].select("network", "n", _r("mean_ipr"), _r("median_ipr"), _r("ipr_max"), _r("lambda_min"), _r("lambda_max"), _r("extended_fraction"), _r("mean_level_spacing_r"))
 
 
 def atlas_excess(s, d):
@@ -491,13 +522,13 @@ def block_gain(s, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        haversine_pairs, knn_geo_edges, knn_geo_grid, knn_feature_edges, sigma_auto, rbf_weights, sym_adjacency, degree, lap_unnorm, lap_sym, knn_out_of_sample,
+        haversine_pairs, knn_geo_edges, knn_geo_grid, knn_geo_large, knn_feature_edges, sigma_auto, rbf_weights, sym_adjacency, degree, lap_unnorm, lap_sym, knn_out_of_sample,
         eigs_moments, eigs_cube_moment, eigs_feature_moments, eigs_partial, eigs_both_ends, ipr_modes, pr_modes, ipr_trivial_mode, dirichlet, rayleigh, dirichlet_by_modes, level_spacing,
         r2_single_feature, r2_subspace, r2_full_basis, spectral_bound, augment_wide, select_k_fixed, select_k_ratio, select_k_elbow, select_k_modes, ceiling_curve,
         bottleneck_modes, bottleneck_nodes, extended_fraction, bottleneck_zones, bottleneck_zones_nested, profile_summary, profile_checked, statistics,
         wasserstein_pairs, ks_pairs, compare_networks, compare_spectra, similarity_matrix, similarity_wide, multiscale, multiscale_matrix, band_split,
-        subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_panels, control_sweep,
-        kfold_sizes, nystrom_extend, cv_estimator, ridge_fit, r2_score, station_load, zfill_ids, size_gate, centre, hist_density, bottleneck_map, spectrum_lines, cv_panel, cv_means, comparison_panel,
+        subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, permutation_exact, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_panels, control_sweep,
+        kfold_sizes, nystrom_extend, cv_estimator, cv_one_mode, cv_estimator_one_mode, ridge_fit, r2_score, station_load, zfill_ids, size_gate, centre, hist_density, bottleneck_map, spectrum_lines, cv_panel, cv_means, comparison_panel, comparison_statistics,
         atlas_excess, atlas_crosstab, atlas_label_summary, block_gain,
     )
 } | {

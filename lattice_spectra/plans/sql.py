@@ -75,6 +75,21 @@ CURVE = """grid AS (SELECT network, row_number() OVER (PARTITION BY network ORDE
     sum(x1 * x1) OVER (PARTITION BY network ORDER BY abs(x1) DESC, node_id ROWS UNBOUNDED PRECEDING) / sum(x1 * x1) OVER (PARTITION BY network) AS r2 FROM nodes)"""
 WITH_Y = "own AS (SELECT * FROM nodes WHERE y IS NOT NULL)"
 
+MATRIX = """mx AS (SELECT a, b, round(s, 9) AS s FROM (SELECT a, b, s FROM sm UNION ALL SELECT b, a, s FROM sm UNION ALL SELECT DISTINCT network, network, 1e0 FROM nodes))"""
+SM = "sm AS (SELECT a, b, exp(-5e0 * (0.5e0 * max(wasserstein) FILTER (WHERE kind = 'eig') + 0.5e0 * max(wasserstein) FILTER (WHERE kind = 'ipr') / 3)) AS s FROM w1 GROUP BY 1, 2)"
+TWO = "two AS (SELECT * FROM spec WHERE network IN (0, 1))"
+ONE_MODE = graph(
+    """SELECT e.network, e.fold::INTEGER AS fold, round(1 - sum((y - a - b * x) * (y - a - b * x)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS baseline,
+    round(1 - sum((y - c - w1 * x - w2 * z) * (y - c - w1 * x - w2 * z)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS augmented
+    FROM e JOIN w ON w.network = e.network AND w.fold = e.fold WHERE e.test GROUP BY 1, 2""",
+    "base AS (SELECT n.network, n.node_id % 5 AS own, n.x1 / 10000 AS x, coalesce(n.y, 0) / 100000 AS y, sqrt(d.deg) AS u FROM nodes n JOIN deg d ON d.src = n.node_id)",
+    "z AS (SELECT network, own, x, y, u / stddev_pop(u) OVER (PARTITION BY network) AS z FROM base)",
+    "e AS (SELECT z.*, f.f AS fold, z.own = f.f AS test FROM z JOIN (SELECT DISTINCT network, own AS f FROM base) f ON f.network = z.network)",
+    """m AS (SELECT network, fold, count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) - sum(x) * sum(x) / count(*) + 1 AS m11, sum(z * z) - sum(z) * sum(z) / count(*) + 1 AS m22,
+    sum(x * z) - sum(x) * sum(z) / count(*) AS m12, sum(x * y) - sum(x) * sum(y) / count(*) AS t1, sum(z * y) - sum(z) * sum(y) / count(*) AS t2 FROM e WHERE NOT test GROUP BY 1, 2)""",
+    """w AS (SELECT *, (sy - sx * b) / n AS a, (sy - sx * w1 - sz * w2) / n AS c FROM (SELECT *, t1 / m11 AS b, (t1 * m22 - t2 * m12) / (m11 * m22 - m12 * m12) AS w1, (t2 * m11 - t1 * m12) / (m11 * m22 - m12 * m12) AS w2 FROM m))""",
+)
+
 ORACLES: dict[str, str] = {
     "haversine_pairs": nodes("SELECT network, src, dst, round(d, 6) AS d FROM dist", PAIRS),
     "knn_geo_edges": nodes("SELECT network, src, dst, round(d, 6) AS d, rk::INTEGER AS rk FROM knn", PAIRS, KNN),
@@ -225,4 +240,29 @@ ORACLES: dict[str, str] = {
     "atlas_label_summary": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std, round(median(c_acctbal), 6) AS median FROM customer GROUP BY 1",
     "block_gain": """SELECT city, round(b, 6) AS r2_base, round(a, 6) AS r2_aug, round(a - b, 6) AS gain, round(ra, 6) AS r2_aug_random, round(ra - rb, 6) AS gain_random, round(ra - a, 6) AS r2_drop, round((ra - rb) - (a - b), 6) AS gain_drop FROM
         (SELECT c_nationkey AS city, avg(c_acctbal) AS b, avg(c_acctbal + c_custkey) AS a FROM customer GROUP BY 1) x JOIN (SELECT s_nationkey AS city, avg(s_acctbal) AS rb, avg(s_acctbal + s_suppkey) AS ra FROM supplier GROUP BY 1) y USING (city)""",
+    "knn_geo_large": f"""WITH nodes AS (SELECT o_orderkey AS node_id, 48.8e0 + 0.1e0 * (o_orderkey * 0.6180339887498949e0 - floor(o_orderkey * 0.6180339887498949e0)) AS lat,
+        2.3e0 + 0.1e0 * (o_orderkey * 0.7548776662466927e0 - floor(o_orderkey * 0.7548776662466927e0)) AS lng FROM orders), cell AS (SELECT *, floor(lat / 0.01e0) AS c FROM nodes),
+        far AS (SELECT a.node_id AS src, b.node_id AS dst, {haversine("a", "b")} AS d FROM cell a JOIN (SELECT node_id, lat, lng, unnest([c - 1, c, c + 1]) AS c FROM cell) b ON a.c = b.c AND a.node_id <> b.node_id)
+        SELECT 0 AS network, src, dst, round(d, 5) AS d, rk::INTEGER AS rk FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rk FROM far) WHERE rk <= 3""",
+    "similarity_wide": nodes("SELECT a, " + ", ".join(f'max(s) FILTER (WHERE b = {i}) AS "{i}"' for i in range(25)) + " FROM mx GROUP BY 1", SPEC, RESCALED, distances("resc", "kind"), SM, MATRIX),
+    "permutation_exact": f"""WITH {SIMILAR}, {GROUPS}, {LABELLED}, mem AS (SELECT name, grp, row_number() OVER (ORDER BY name) - 1 AS i FROM grp WHERE name IN (SELECT a FROM sim UNION SELECT b FROM sim)),
+        msk AS (SELECT m FROM range(1024) t(m) WHERE m < (SELECT pow(2, count(*)) FROM mem) AND bit_count(m) = (SELECT count(*) FROM mem WHERE grp = 'A')),
+        sp AS (SELECT m, s, (m >> x.i) & 1 AS p, (m >> y.i) & 1 AS q FROM msk, lab JOIN mem x ON x.name = lab.a JOIN mem y ON y.name = lab.b),
+        con AS (SELECT m, 0.5e0 * (avg(s) FILTER (WHERE p = 1 AND q = 1) + avg(s) FILTER (WHERE p = 0 AND q = 0)) - avg(s) FILTER (WHERE p <> q) AS c FROM sp GROUP BY 1),
+        obs AS (SELECT 0.5e0 * (avg(s) FILTER (WHERE ga = 'A' AND gb = 'A') + avg(s) FILTER (WHERE ga = 'B' AND gb = 'B')) - avg(s) FILTER (WHERE ga <> gb) AS o FROM lab)
+        SELECT round(max(o), 9) AS observed, round(avg(c), 9) AS null_mean, round(stddev_pop(c), 9) AS null_std, round(avg(CASE WHEN c >= o - 1e-12 THEN 1e0 ELSE 0e0 END), 9) AS p_value, count(*)::INTEGER AS n_perm FROM con, obs""",
+    "cv_one_mode": ONE_MODE,
+    "cv_estimator_one_mode": ONE_MODE,
+    "comparison_panel": nodes(
+        """SELECT e.network, e.kind, g.bin::INTEGER AS bin, round(e.lo + g.bin * w, 6) AS "left", round(w, 6) AS width, round(coalesce(c.c, 0) / (e.n * w), 6) AS density FROM ends e CROSS JOIN range(50) g(bin)
+        LEFT JOIN (SELECT v.network, v.kind, least(floor((v.v - e.lo) / (e.hi - e.lo) * 50), 49) AS bin, count(*) AS c FROM vals v JOIN ends e ON e.network = v.network AND e.kind = v.kind GROUP BY 1, 2, 3) c ON c.network = e.network AND c.kind = e.kind AND c.bin = g.bin""",
+        SPEC, TWO, """vals AS (SELECT network, 'lambda' AS kind, "lambda" AS v FROM two UNION ALL SELECT network, 'log_ipr', log10(ipr + 1e-12) FROM two)""",
+        "ends AS (SELECT network, kind, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 50 AS w, count(*) AS n FROM vals GROUP BY 1, 2)",
+    ),
+    "comparison_statistics": nodes(
+        """SELECT network, max(n)::BIGINT AS n, round(avg(ipr), 9) AS mean_ipr, round(median(ipr), 9) AS median_ipr, round(max(ipr), 9) AS ipr_max, round(min("lambda"), 9) AS lambda_min, round(max("lambda"), 9) AS lambda_max,
+        round(avg(CASE WHEN ipr < 5e0 / n THEN 1e0 ELSE 0e0 END), 9) AS extended_fraction, round(max(sr), 9) AS mean_level_spacing_r FROM two JOIN (SELECT network, avg(least(s, t) / (greatest(s, t) + 1e-30)) AS sr FROM (SELECT *, lead(s) OVER (PARTITION BY network ORDER BY position) AS t FROM (
+        SELECT network, row_number() OVER o AS position, lead("lambda") OVER o - "lambda" AS s FROM two WINDOW o AS (PARTITION BY network ORDER BY "lambda"))) WHERE t IS NOT NULL GROUP BY 1) USING (network) GROUP BY 1""",
+        SPEC, TWO,
+    ),
 }

@@ -10,7 +10,7 @@ from lattice_spectra.plans.catalogue import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Nations have 3 to 13 nodes there, too few for the default numbers of modes or members.
-LARGER = {"multiscale", "multiscale_matrix", "band_split", "r2_subspace", "eigs_both_ends", "cv_transductive", "cv_inductive", "kfold_sizes"}
+LARGER = {"multiscale", "multiscale_matrix", "band_split", "r2_subspace", "kfold_sizes", "cv_one_mode", "cv_estimator_one_mode", "permutation_exact", "comparison_panel", "comparison_statistics"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -44,7 +44,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["profile_summary", "bootstrap_ci", "compare_spectra", "ceiling_curve", "select_k_modes", "bottleneck_zones_nested", "control_sweep"])
+@pytest.mark.parametrize("name", ["profile_summary", "bootstrap_ci", "compare_spectra", "ceiling_curve", "select_k_modes", "bottleneck_zones_nested", "control_sweep", "cv_transductive", "cv_inductive", "cv_estimator", "eigs_both_ends", "permutation_test"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
