@@ -20,6 +20,8 @@ from ..functions.scratch import cut
 BLOCKWISE = 20_000
 #: Nodes that one task holds of each side.
 BLOCK = 1_000
+#: Nodes for each neighbour wanted up to which a cell isn't crowded.
+CROWD = 32
 #: Neighbours that a block's product passes on beyond k, as the last digits of distances are taken from the join's own formula.
 SPARE = 8
 
@@ -44,19 +46,30 @@ def pairs_geographic(nodes: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def _grid(nodes: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """Cells are cubes around points of the unit sphere, where chords grow with distances, so neither poles nor the 180th meridian are edges."""
+    """Cells are cubes around points of the unit sphere, where chords grow with distances, so neither poles nor the 180th meridian are edges.
+
+    The first side is that of some 2k nodes a cell if they were spread evenly
+    over an area, or along a line, and smaller where a cell would be crowded:
+    nodes of dense places are settled by small cells, others by later, wider ones.
+    """
     axes = ["_x", "_y", "_z"]
     lat, lng = F.radians("lat"), F.radians("lng")
     placed = nodes.withColumn("_x", F.cos(lat) * F.cos(lng)).withColumn("_y", F.cos(lat) * F.sin(lng)).withColumn("_z", F.sin(lat))
     box = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[(F.max(c) - F.min(c)).alias(f"{c}w") for c in axes])
     faces = [F.pow(F.col(f"{a}w") * F.col(f"{b}w"), 2) for a, b in (("_x", "_y"), ("_y", "_z"), ("_x", "_z"))]
     area = F.sqrt(faces[0] + faces[1] + faces[2])
-    box = box.withColumn("_side", F.greatest(F.sqrt(area * (2 * k) / F.col("_n")), F.lit(1.0 / EARTH_RADIUS_M))).select(*by, "_n", "_side")
+    longest = F.greatest(*[F.col(f"{c}w") for c in axes])
+    box = box.withColumn("_side", F.greatest(F.sqrt(area * (2 * k) / F.col("_n")), longest * (2 * k) / F.col("_n"), F.lit(1.0 / EARTH_RADIUS_M))).select(*by, "_n", "_side")
     open_nodes, done, factor = nodes, [], 1.0
     full = placed.join(F.broadcast(box) if nodes.select(*by).distinct().count() < 10_000 else box, by)
+    cells = [f"{c}c" for c in axes]
+    while factor > 2.0**-20:
+        crowd = full.groupBy(*by, *[F.floor(F.col(a) / (F.col("_side") * factor)).alias(c) for a, c in zip(axes, cells, strict=True)]).count().agg(F.max("count")).first()[0]
+        if (crowd or 0) <= CROWD * k:
+            break
+        factor /= 4
     while True:
         side = F.col("_side") * factor
-        cells = [f"{c}c" for c in axes]
         celled = full.select("*", *[F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)])
         right = celled.select(*by, *cells, F.col("node_id").alias("dst"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
         asked = celled.join(open_nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi") if done else celled
