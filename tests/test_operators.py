@@ -48,6 +48,7 @@ def test_blocks_equal_pairwise(spark, monkeypatch):
     rows = [("clusters", i, float(45 + a), float(5 + b)) for i, (a, b) in enumerate(zip(clusters, rng.permutation(clusters), strict=True))]
     rows += [("line", i, 10.0, float(x)) for i, x in enumerate(rng.uniform(-180, 180, n))]
     rows += [("pole", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(88, 90, n), rng.uniform(-180, 180, n), strict=True))]
+    monkeypatch.setattr(knn, "CROWD", 2)
     rows += [("places", i, float(i % 3), 1.0) for i in range(120)] + [("two", 0, 1.0, 1.0), ("two", 1, 1.0, 2.0), ("one", 0, 1.0, 1.0)]
     box = spark.createDataFrame(rows, "network string, node_id long, lat double, lng double")
     key = lambda df: sorted((r["network"], r["src"], r["rk"], r["dst"], r["d"]) for r in df.collect())
@@ -413,6 +414,27 @@ def test_plot_tables(city, made):
     assert plotdata.ceiling_data(city, made.pairs, ["x1"]).count() >= 7
 
 
+def test_figures(city, made, tmp_path):
+    from xml.etree import ElementTree
+
+    panels = plotdata.overview_data(city, made.pairs, made.spectrum)
+    hist = plotdata.histogram(city.select("network", F.col("y").alias("v")), ["network"])
+    cells = city.sparkSession.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5), ("a", "a", 1.0), ("b", "b", 1.0)], "a string, b string, s double")
+    drawn = [
+        sinks.Panel(panels["map"], "points", "lng", "lat", "mass", "mode <1>"), sinks.Panel(panels["spectrum"], "points", "lambda", "ipr"), sinks.Panel(panels["ceiling"], "line", "k", "r2"),
+        sinks.Panel(hist, "bars", "left", "density", "width"), sinks.Panel(cells, "cells", "a", "b", "s"), sinks.Panel(cells.where("false"), "points", "s", "s"),
+    ]
+    sinks.write_figure(drawn, str(tmp_path / "f.svg"))
+    root = ElementTree.parse(tmp_path / "f.svg").getroot()
+    count = lambda tag: len(root.findall(f"{{http://www.w3.org/2000/svg}}{tag}"))
+    assert count("circle") == 160 and count("rect") == 54 and count("polyline") == 1
+    for bad in (sinks.Panel(cells, "other", "a", "b"), sinks.Panel(cells, "cells", "a", "b")):
+        with pytest.raises(ValueError):
+            sinks.write_figure([bad], str(tmp_path / "g.svg"))
+    with pytest.raises(ValueError, match="marks"):
+        sinks.write_figure([sinks.Panel(city.sparkSession.range(sinks.MARKS + 1).select("id", F.col("id").alias("y")), "points", "id", "y")], str(tmp_path / "h.svg"))
+
+
 def test_feature_neighbours_in_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 16)
     rng = np.random.default_rng(0)
