@@ -97,6 +97,29 @@ def test_passages_of_just_over_fifty_words_are_cut(spark):
             assert p[10:-10] not in kept[10 * i + j] and before[:-12] in kept[10 * i + j] and after[12:] in kept[10 * i + j]
 
 
+def test_empty_tables(spark, corpus, tmp_path):
+    folder, *_ = corpus
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert queries.QUERIES["op2_toxicity"](spark, str(tmp_path)).count() == 0 and queries.QUERIES["op4_language"](spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_repeated_rows_nulls_and_long_texts(spark):
+    """Each stage alone: repeated rows, null ids and texts, a text of a megabyte, and columns named as operators name theirs."""
+    long = prose(180_000, 71, SOUNDS["a"])
+    rows = [(1, prose(90, 1, SOUNDS["a"]), "a", 0.5), (1, prose(90, 1, SOUNDS["a"]), "a", 0.5), (None, prose(90, 2, SOUNDS["b"]), None, None), (None, None, None, None), (3, "", "a", 1.0), (4, long, "a", 2.0), (5, long, "b", 2.0), (6, prose(80, 6, SOUNDS["a"]) + long[3000:4000], "a", 2.0)]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, lang string, score double, node long, start int")
+    left = materialize(corpus_pipeline.near_duplicates(spark, docs, ""), "left")
+    assert left.columns == docs.columns and sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in left.collect()) == sorted([(1, len(rows[0][1])), (0, len(rows[2][1])), (3, 0), (4, len(long)), (6, len(rows[7][1]))])
+    cut = corpus_pipeline.repeated_passages(spark, left, "")
+    assert cut.columns == docs.columns
+    kept = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert len(kept) == 5 and kept[3] == "" and 900 <= len(long) - len(kept[4]) <= 1100 and len(kept[6]) < len(rows[7][1]) - 900 and kept[1] == rows[0][1]
+    pieces = corpus_pipeline.packed(spark, left, "").collect()
+    assert {r["doc_id"] for r in pieces} == {1, None, 3, 4, 6} and max(r["start"] + r["length"] for r in pieces if r["doc_id"] == 4) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 4)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "repeats", "packing"]
     assert set(oracles.ORACLES) <= set(queries.QUERIES) and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
