@@ -176,8 +176,10 @@ def learn(docs: DataFrame) -> Network | None:
     """Trains on at most ``ROWS`` documents of each language whose crc32(doc_id as text) mod 3 isn't 1."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_part("doc_id", 3) != 1))
     room = F.greatest(F.length("text") - CHARACTERS, F.lit(0)) + 1
-    picked = bounded_sample(rows.select("doc_id", "lang", "text"), "lang", F.xxhash64("doc_id"), ROWS)
-    got = picked.select("lang", "_r", F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(2)), room.cast("long")).cast("int") + 1, F.lit(CHARACTERS)).alias("text")).collect()
+    # only the characters that are learned from go through the sample's shuffle
+    part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(2)), room.cast("long")).cast("int") + 1, F.lit(CHARACTERS))
+    picked = bounded_sample(rows.select("doc_id", "lang", part.alias("text")), "lang", F.xxhash64("doc_id"), ROWS)
+    got = picked.select("lang", "_r", "text").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["_r"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
