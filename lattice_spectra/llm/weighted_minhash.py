@@ -23,8 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import U64, buffers, materialize, mix64, release
+from .common import U64, buffers, discard, materialize, mix64, release
 from .components import components
 
 #: Hashed word buckets for document frequencies; the broadcast table has this many floats.
@@ -36,6 +37,8 @@ SHINGLE = 5
 SLICE = 1 << 19
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 500
+#: Rows for each part that a band's members are dealt into when they are joined to its least text.
+PART_ROWS = 50_000
 #: Hashed cells of a weighted set's sketch.
 CELLS = 512
 
@@ -150,6 +153,7 @@ def word_idf(lowered: DataFrame) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], idf, tables, rows: int) -> Iterator[pa.RecordBatch]:
+    release()
     samples = len(tables.value[0])
     for batch in batches:
         at, raw = buffers(batch.column("text"))
@@ -241,9 +245,15 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     tables = spark.sparkContext.broadcast(_variates(bands * rows))
     signed = materialize(body.mapInArrow(lambda it: _signatures(it, idf, tables, rows), "doc_id long, node long, bands array<long>"), "signatures")
 
-    members = signed.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a <> _z").select("band", "a")
-    star = materialize(members.join(buckets, "band").where("node <> a").groupBy("band", "a", F.col("node").alias("b")).agg(F.lit(1).alias("_")).drop("_"), "star")
+    # one row for each text, so that exact copies don't swell a band; a band that many texts share is dealt into parts
+    parts = max(32, signed.count() // PART_ROWS)
+    texts_signed = signed.select("node", "bands").dropDuplicates(["node"])
+    members = materialize(texts_signed.select("node", F.explode("bands").alias("band"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part")), "members")
+    ends = members.groupBy("band", "part").agg(F.min("node").alias("a"), F.max("node").alias("_z"))
+    buckets = ends.groupBy("band").agg(F.min("a").alias("a"), F.max("_z").alias("_z")).where("a <> _z").select("band", "a")
+    keyed = ends.select("band", "part").join(buckets, "band")
+    star = materialize(members.join(keyed, ["band", "part"]).where("node <> a").select("band", "a", F.col("node").alias("b")), "star")
+    discard(members)
     first = star.select("a", "b").distinct()
 
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
@@ -277,6 +287,7 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     named_apart = lambda df, side: df.select(*[F.col(c).alias(side + c) for c in [*keys, "node", "text", "comp"]]).groupBy(*[side + c for c in keys])
     more = named_apart(left, "f_").cogroup(named_apart(right, "m_")).applyInPandas(_left_over(threshold, idf), "a long, b long")
     groups = components(links.unionByName(more.distinct()))
+    discard(star, texts, checked, comps)
 
     return signed.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
 
@@ -295,10 +306,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: that of the least doc_id (nulls last), of its texts the least hash."""
+    """``docs`` with one row of each group: that of the least doc_id (nulls last), of its texts the least hash.
+
+    Of rows with one id and text the first by the other columns stays.
+    """
     last = F.lit(2**63 - 1)
     named = _grouped(docs, threshold, bands, rows)
     kept = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), "node")).alias("_k")).select("_k._id", F.col("_k.node").alias("_node"))
     marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = Window.partitionBy("_id", "_node").orderBy(F.lit(0))
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    one = Window.partitionBy("_id", "_node").orderBy(*(others or [F.lit(0)]))
     return marked.join(kept, ["_id", "_node"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
