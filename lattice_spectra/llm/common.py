@@ -3,6 +3,9 @@ columns, Arrow access and 64-bit hashing in numpy."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,7 +20,7 @@ U64 = np.uint64
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
 
@@ -117,7 +120,7 @@ def bounded_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame
 
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for the session, where it still has Spark's own: whole texts are long rows."""
-    for k, default, v in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "16777216")):
+    for k, default, v in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "8388608")):
         name = f"spark.sql.execution.arrow.{k}"
         if spark.conf.get(name, default).rstrip("b") == default:
             spark.conf.set(name, v)
@@ -126,19 +129,24 @@ def bounded_batches(spark: SparkSession) -> None:
 _held: dict[tuple, object] = {}
 
 
+def release() -> None:
+    """Lets go of what other operators keep in this worker, and gives what is free back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held(key: tuple, make: Callable[[], object]) -> object:
     """What an operator keeps in a worker between tasks; another operator's goes, as workers are shared."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
-def release() -> None:
-    """Lets go of what other operators keep in this worker."""
-    _held.clear()
-
-
 def crc_part(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus`` (null: as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

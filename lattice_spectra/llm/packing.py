@@ -125,7 +125,8 @@ class WordIds:
     texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,7 +177,7 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         split = [None if _ODD.search(t) else list(self.parts(t)) for t in texts]
         new = set().union(*[words for parts in split if parts for words in parts]).difference(self.known)
@@ -201,12 +202,12 @@ def batched(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
         yield group
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, end = held(("words", path), lambda: WordIds(path)), array("I", [end_id]).tobytes()
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool, cache: int) -> Iterator[pa.RecordBatch]:
+    encode, end = held(("words", path, cache), lambda: WordIds(path, cache)), array("I", [end_id]).tobytes()
     for batch in batches:
         rows, start, length, crc, total, ids = [], [], [], [], [], []
         i = 0
-        for group in batched(batch.column("text").to_pylist(), 1 << 22):
+        for group in batched(batch.column("text").to_pylist()):
             for blob in encode(group):
                 blob += end
                 n = len(blob) // 4
@@ -228,20 +229,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: i
         yield pa.RecordBatch.from_arrays(out, names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents with their places in windows.
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and,
     if asked, the ``ids`` themselves. A null text is empty and gives the end id
     alone; rows with one doc_id are documents of their own; other columns are
     ignored. Sequences are numbered from 0; those of full windows come first.
+    ``cache`` words' ids are kept by a worker, twice, which is memory for speed.
     """
     if window < 1:
         raise ValueError("a window holds one token at least")
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    pieces = materialize(docs.mapInArrow(lambda it: _pieces(it, tokenizer, window, end_id, with_ids), schema), "pieces")
+    pieces = materialize(docs.mapInArrow(lambda it: _pieces(it, tokenizer, window, end_id, with_ids, cache), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row for each length
     runs = best_fit_decreasing(counts, window)
     placed = docs.sparkSession.createDataFrame(runs, "_length long, _lo long, _hi long, _each long, _first long, _offset long")

@@ -157,6 +157,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _opened(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Position-rank pairs of the anchors in ``open``, an array of (start, span, copies)."""
+    release()
     half = length // 2
     second = length - half
     for batch in batches:
@@ -214,6 +215,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         at, raw = buffers(batch.column("text"))
         cells = batch.column("found")

@@ -261,7 +261,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for batch in batches:
         score = np.zeros(len(batch))
         i = 0
-        for group in batched(batch.column("_body").to_pylist(), 1 << 21):
+        for group in batched(batch.column("_body").to_pylist()):
             if scorer:
                 hits, n = scorer(group)
                 score[i : i + len(group)] = model.score(np.array(hits, float), np.array(n, float))
