@@ -20,6 +20,8 @@ SIMILAR = 0.8
 #: A passage of just over 50 words reaches this at 4 bytes a word; the documents' own rate is about 6. op7_remove_repeats keeps its 400.
 REPEATED_BYTES = 200
 WINDOW = 2048
+#: Words that a worker keeps while packing: fewer than by default, as the stages before have filled the executors' memory.
+WORDS = 100_000
 #: Columns that operators read; others pass through under other names.
 READ = ("doc_id", "text", "lang")
 
@@ -62,7 +64,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), WINDOW, 1)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), WINDOW, 1, cache=WORDS)
 
 
 STAGES = [
