@@ -38,14 +38,14 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def by_hash(rows: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
-    """Deals rows over ``ceil(n / ROWS)`` blocks by a hash."""
+def by_hash(rows: DataFrame, n: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """Deals rows over ``ceil(n / ROWS)`` blocks by a hash; what adds ``block``, and the number of blocks."""
     blocks = max(1, -(-n // ROWS))
-    return lambda df: df.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int"))
+    return lambda df: df.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int")), blocks
 
 
-def by_centre(rows: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
-    """Deals rows to blocks of alike ones: by the nearest of some sampled centres, large ones in parts by a hash.
+def by_centre(rows: DataFrame, n: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """Deals rows to blocks of alike ones, as ``by_hash`` returns it: by the nearest of some sampled centres, large ones in parts by a hash.
 
     The sample is bounded: ``PER_CENTRE`` rows of least hash for each of
     ``CENTRES`` centres at most. Counts of all rows by centre set the parts.
@@ -74,7 +74,7 @@ def by_centre(rows: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
     first = np.cumsum([0, *parts[:-1]]).tolist()
     table = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("parts")) for a, b in zip(first, parts, strict=True)])
     spread = table[F.col("centre")]
-    return lambda df: near(df).withColumn("block", (spread["first"] + F.pmod(F.xxhash64("id", "vec"), spread["parts"])).cast("int")).drop("centre")
+    return lambda df: near(df).withColumn("block", (spread["first"] + F.pmod(F.xxhash64("id", "vec"), spread["parts"])).cast("int")).drop("centre"), sum(parts)
 
 
 def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def search(rows: DataFrame, is_query: Column, build: Callable, probe: Callable,
     """
     wanted = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
     n, q = rows.count(), wanted.count()
-    place = deal(rows, n)
+    place, n_blocks = deal(rows, n)
     n_queries = max(1, -(-q // QUERIES))
 
     def indexed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def search(rows: DataFrame, is_query: Column, build: Callable, probe: Callable,
         return pd.DataFrame({"query_id": np.asarray(found[0], "int64"), "vec_id": np.asarray(found[1], "int64"), "score": np.asarray(found[2], kind)})
 
     schema = f"query_id long, vec_id long, score {score}"
-    numbers = blocks.select("block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     asked = place(wanted).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("block").alias("q_home"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_queries)).cast("int").alias("q_qb"))
     none = F.lit(None).cast(score).alias("q_least")
     if home_first and n > ROWS:
@@ -122,9 +122,9 @@ def search(rows: DataFrame, is_query: Column, build: Callable, probe: Callable,
         first = materialize(own.groupBy("q_block").cogroup(blocks.groupBy("block")).applyInPandas(both, schema), "first")
         least = first.groupBy(F.col("query_id").alias("q_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least"))
         asked = asked.join(least, "q_id", "left").withColumn("q_least", F.when(F.col("_n") >= k, F.col("_least"))).drop("_n", "_least")
-        pairs = asked.join(F.broadcast(numbers) if n <= ROWS * CENTRES else numbers, F.col("block") != F.col("q_home")).withColumnRenamed("block", "q_block")
+        pairs = asked.withColumn("q_block", every).where("q_block <> q_home")
     else:
-        pairs = asked.withColumn("q_least", none).join(F.broadcast(numbers) if n <= ROWS * CENTRES else numbers).withColumnRenamed("block", "q_block")
+        pairs = asked.withColumn("q_least", none).withColumn("q_block", every)
         first = None
     right = blocks.select(F.col("block").alias("r_block"), "index", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("r_qb"))
     found = pairs.select("q_id", "q_vec", "q_least", "q_qb", "q_block").groupBy("q_qb", "q_block").cogroup(right.groupBy("r_qb", "r_block")).applyInPandas(both, schema)
