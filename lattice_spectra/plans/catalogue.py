@@ -224,6 +224,20 @@ def augment_wide(s, d):
     return bound.augment_features(_nodes(s, d), modes, 1).select("network", "node_id", _r("mode_0", 6))
 
 
+def _first_pairs(s: SparkSession, d: str, k: int = 16) -> DataFrame:
+    return spectrum.spectral_decomposition(_laplacian(s, d), k, clip=True)
+
+
+def spectral_bound_default(s, d):
+    """With the operator's own 16 modes; ``spectral_bound`` is the form with one, which SQL can solve."""
+    return bound.spectral_bound(_bound_nodes(s, d), _first_pairs(s, d), ["f"])
+
+
+def augment_default(s, d):
+    """With the operator's own 16 modes."""
+    return bound.augment_features(_nodes(s, d), spectrum.modes_long(_first_pairs(s, d)))
+
+
 def _bound_nodes(s, d):
     return _nodes(s, d).select("network", "node_id", "lat", "lng", (F.col("lat") * 10 + F.col("x1") / 100000).alias("f"), F.col("x1").alias("y"))
 
@@ -524,7 +538,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         haversine_pairs, knn_geo_edges, knn_geo_grid, knn_geo_large, knn_feature_edges, sigma_auto, rbf_weights, sym_adjacency, degree, lap_unnorm, lap_sym, knn_out_of_sample,
         eigs_moments, eigs_cube_moment, eigs_feature_moments, eigs_partial, eigs_both_ends, ipr_modes, pr_modes, ipr_trivial_mode, dirichlet, rayleigh, dirichlet_by_modes, level_spacing,
-        r2_single_feature, r2_subspace, r2_full_basis, spectral_bound, augment_wide, select_k_fixed, select_k_ratio, select_k_elbow, select_k_modes, ceiling_curve,
+        r2_single_feature, r2_subspace, r2_full_basis, spectral_bound, spectral_bound_default, augment_wide, augment_default, select_k_fixed, select_k_ratio, select_k_elbow, select_k_modes, ceiling_curve,
         bottleneck_modes, bottleneck_nodes, extended_fraction, bottleneck_zones, bottleneck_zones_nested, profile_summary, profile_checked, statistics,
         wasserstein_pairs, ks_pairs, compare_networks, compare_spectra, similarity_matrix, similarity_wide, multiscale, multiscale_matrix, band_split,
         subsample_sizes, matched_sizes, bootstrap_ci, bootstrap_intervals, block_contrast, permutation_test, permutation_observed, permutation_exact, block_similarity_diag, mantel_spearman, top_bottom_pairs, verdicts, control_panels, control_sweep,

@@ -49,6 +49,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
+def test_default_sizes(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["spectral_bound_default"](spark, sf).toPandas()
+    assert len(rows) == 25 and (rows.k == 16).all() and (rows.r2_augmented >= rows[["r2_imd", "r2_spectral_only"]].max(axis=1) - 1e-9).all() and (rows.r2_augmented <= 1 + 1e-9).all()
+    wide = QUERIES["augment_default"](spark, sf).toPandas()
+    assert len(wide) == 1500 and (wide.groupby("network")[[f"mode_{i}" for i in range(16)]].std(ddof=0) - 1).abs().to_numpy().max() < 1e-9
+
+
 def test_entry(spark):
     import __spark_entry__
 
