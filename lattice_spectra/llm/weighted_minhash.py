@@ -252,7 +252,7 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     ends = members.groupBy("band", "part").agg(F.min("node").alias("a"), F.max("node").alias("_z"))
     buckets = ends.groupBy("band").agg(F.min("a").alias("a"), F.max("_z").alias("_z")).where("a <> _z").select("band", "a")
     keyed = ends.select("band", "part").join(buckets, "band")
-    star = materialize(members.join(keyed, ["band", "part"]).where("node <> a").select("band", "a", F.col("node").alias("b")), "star")
+    star = materialize(members.join(keyed, ["band", "part"]).where("node <> a").select("band", "part", "a", F.col("node").alias("b")), "star")
     discard(members)
     first = star.select("a", "b").distinct()
 
@@ -272,22 +272,26 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
     failed = checked.where(F.col("similarity") < threshold).select("a", "b")
     comps = components(links)
 
-    # Failures meet all others of their band that aren't in their component yet.
-    lost = star.join(failed, ["a", "b"]).select("band", F.col("b").alias("node")).distinct()
+    # Failures meet all others of their band that aren't in their component yet. Counts go from part to band and back, so
+    # that a band's rows, however many, are joined by part.
+    place = ["band", "part"]
+    lost = star.join(failed, ["a", "b"]).select(*place, F.col("b").alias("node")).distinct()
+    counted = star.groupBy(*place).agg(F.count(F.lit(1)).alias("_m")).join(lost.groupBy(*place).agg(F.count(F.lit(1)).alias("_f")), place, "left")
+    blocks = counted.groupBy("band").agg(F.ceil(F.sum("_m") / BLOCK).alias("_mb"), F.ceil(F.sum("_f") / BLOCK).alias("_fb"), F.sum("_m").alias("_m")).where("_m > 1 and _fb > 0").select("band", "_mb", "_fb")
+    sized = materialize(counted.select(*place).join(blocks, "band"), "blocks")
 
     def detailed(rows_: DataFrame) -> DataFrame:
-        return rows_.join(texts, "node").join(comps, "node", "left").select("band", "node", "text", F.coalesce("comp", "node").alias("comp"))
+        known = rows_.join(sized, place).drop("part")
+        return known.join(texts, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    whole = star.join(lost.select("band").distinct(), "band", "left_semi").select("band", F.col("b").alias("node"))
-    sizes = whole.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).join(lost.groupBy("band").agg(F.count(F.lit(1)).alias("_f")), "band").where("_m > 1").select("band", F.ceil(F.col("_m") / BLOCK).alias("_mb"), F.ceil(F.col("_f") / BLOCK).alias("_fb"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    left = detailed(lost.join(sizes, "band").select("band", "node")).join(sizes, "band").withColumn("_fi", F.pmod(F.xxhash64("node"), F.col("_fb")).cast("int")).withColumn("_mi", every("_mb"))
-    right = detailed(whole.join(sizes, "band").select("band", "node")).join(sizes, "band").withColumn("_mi", F.pmod(F.xxhash64("node"), F.col("_mb")).cast("int")).withColumn("_fi", every("_fb"))
+    left = detailed(lost).withColumn("_fi", F.pmod(F.xxhash64("node"), F.col("_fb")).cast("int")).withColumn("_mi", every("_mb"))
+    right = detailed(star.select(*place, F.col("b").alias("node"))).withColumn("_mi", F.pmod(F.xxhash64("node"), F.col("_mb")).cast("int")).withColumn("_fi", every("_fb"))
     keys = ["band", "_fi", "_mi"]
     named_apart = lambda df, side: df.select(*[F.col(c).alias(side + c) for c in [*keys, "node", "text", "comp"]]).groupBy(*[side + c for c in keys])
     more = named_apart(left, "f_").cogroup(named_apart(right, "m_")).applyInPandas(_left_over(threshold, idf), "a long, b long")
     groups = components(links.unionByName(more.distinct()))
-    discard(star, texts, checked, comps)
+    discard(star, texts, checked, comps, sized)
 
     return signed.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
 
