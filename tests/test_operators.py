@@ -143,6 +143,41 @@ def test_sparse_modes_equal_dense_ones(n, parts, k):
         spectrum.sparse_eigen(i, j, matrix[i, j], n, n)
 
 
+@pytest.mark.parametrize(("n", "parts"), [(400, 1), (400, 4), (401, 1)])
+def test_slices_give_every_pair(n, parts, monkeypatch):
+    monkeypatch.setattr(spectrum, "DENSE", 50)
+    matrix = rings(n, parts)[: n - n % parts, : n - n % parts]
+    i, j = np.nonzero(matrix)
+    values = np.linalg.eigvalsh(matrix)
+    found = list(spectrum.every_pair(i, j, matrix[i, j], len(matrix)))
+    assert np.abs(np.sort(np.concatenate([v for v, *_ in found])) - values).max() < 1e-9
+    whole = np.zeros((len(matrix), len(matrix)))
+    at = 0
+    for v, own, x in found:
+        whole[own, at : at + len(v)] = x
+        assert np.abs(matrix @ whole[:, at : at + len(v)] - whole[:, at : at + len(v)] * v).max() < 1e-8
+        at += len(v)
+    assert np.abs(whole.T @ whole - np.eye(len(matrix))).max() < 1e-7
+
+
+def test_large_local_spectra_need_no_dense_matrix(city, monkeypatch):
+    want = profile.spectra(city).orderBy("mode").toPandas()
+
+    def no_dense(*_):
+        raise AssertionError("a dense matrix")
+
+    frame = city.toPandas().sort_values("node_id")
+    a, o = np.radians(frame.lat.to_numpy()), np.radians(frame.lng.to_numpy())
+    x = np.column_stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+    near, dist = profile.local_edges(x, frame.node_id.to_numpy(), 6, lambda i, j: profile.between(a[i], o[i], a[j], o[j]))
+    *entries, used = profile.sparse_laplacian(near, dist, None)
+    monkeypatch.setattr(profile, "local_laplacian", no_dense)
+    monkeypatch.setattr(spectrum, "DENSE", 20)
+    values, ipr = spectrum.participations(*entries, len(frame))
+    unique = want["lambda"] > 1e-6
+    assert abs(used - want.sigma[0]) < 1e-6 and np.allclose(values, want["lambda"], atol=1e-9) and np.allclose(ipr[unique], want.ipr[unique])
+
+
 def test_partial_pairs_by_either_way(city, made, monkeypatch):
     lap = laplacian.symmetric_normalised(made.weights, city)
     full = {r["mode"]: r["lambda"] for r in made.pairs.collect()}
