@@ -178,6 +178,20 @@ def test_large_local_spectra_need_no_dense_matrix(city, monkeypatch):
     assert abs(used - want.sigma[0]) < 1e-6 and np.allclose(values, want["lambda"], atol=1e-9) and np.allclose(ipr[unique], want.ipr[unique])
 
 
+def test_mode_statistics_by_either_way(city, made, monkeypatch):
+    lap = laplacian.symmetric_normalised(made.weights, city)
+    want = made.pairs.select("mode", "lambda", "psi").toPandas().sort_values("mode")
+    ipr = np.array([(np.array(p) ** 4).sum() for p in want.psi])
+    unique = (want["lambda"] > 1e-6).to_numpy()
+    for limit in (10, 10_000):
+        monkeypatch.setattr(spectrum, "DENSE", limit)
+        got = spectrum.mode_statistics(lap, 4).toPandas().sort_values("mode").reset_index(drop=True)
+        assert np.allclose(got["lambda"], want["lambda"], atol=1e-9) and np.allclose(got.ipr[unique], ipr[unique]) and (got.n == 80).all()
+        kept = got[got.psi.notna()]
+        assert sorted(kept["mode"]) == sorted(got.sort_values(["ipr", "mode"], ascending=[False, True])["mode"][:4])
+        assert all(abs((np.array(r.psi) ** 4).sum() - r.ipr) < 1e-9 and len(r.node_ids) == 80 for r in kept.itertuples())
+
+
 def test_partial_pairs_by_either_way(city, made, monkeypatch):
     lap = laplacian.symmetric_normalised(made.weights, city)
     full = {r["mode"]: r["lambda"] for r in made.pairs.collect()}
