@@ -59,6 +59,24 @@ def test_blocks_equal_pairwise(spark, monkeypatch):
         knn.knn_geographic(box, 7, method="other")
 
 
+def test_neighbours_between_two_sets_by_the_grid(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("even", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(48.8, 48.9, 300), rng.uniform(2.3, 2.4, 300), strict=True))]
+    rows += [("meridian", i, float(a), float((179.9 + b + 180) % 360 - 180)) for i, (a, b) in enumerate(zip(rng.uniform(-17, -16, 200), rng.uniform(0, 0.4, 200), strict=True))]
+    rows += [("few", i, 1.0, float(i)) for i in range(6)] + [("untrained", 0, 1.0, 1.0)]
+    box = spark.createDataFrame(rows, "network string, node_id long, lat double, lng double")
+    train, test = box.where("node_id % 3 > 0"), box.where("node_id % 3 = 0 or node_id = 1")
+    key = lambda df: sorted((r["network"], r["src"], r["rk"], r["dst"], r["d"]) for r in df.collect())
+    want = key(knn.knn_between(test, train, 5))
+    pairs = []
+    monkeypatch.setattr(knn, "BETWEEN", 10)
+    monkeypatch.setattr(knn, "_sides", lambda *a: pairs.append(a))
+    assert key(knn._grid(train.where("network <> 'few'"), 5, ["network"], test.where("network not in ('few', 'untrained')"))) == [r for r in want if r[0] not in ("few", "untrained")] and not pairs
+    monkeypatch.undo()
+    monkeypatch.setattr(knn, "BETWEEN", 10)
+    assert key(knn.knn_between(test, train, 5)) == want and len([r for r in want if r[0] == "few"]) == 3 * 4
+
+
 def test_weights_are_symmetric_and_sigma_is_kept(city):
     w, sigma = knn.adjacency(knn.knn_geographic(city, 5), 250.0)
     table = {(r["src"], r["dst"]): r["w"] for r in w.collect()}
@@ -192,6 +210,41 @@ def test_mode_statistics_by_either_way(city, made, monkeypatch):
         assert all(abs((np.array(r.psi) ** 4).sum() - r.ipr) < 1e-9 and len(r.node_ids) == 80 for r in kept.itertuples())
 
 
+def test_moments_and_coefficients_are_those_of_the_eigenpairs(city, made, monkeypatch):
+    lap = laplacian.symmetric_normalised(made.weights, city)
+    pairs = made.pairs.toPandas().sort_values("mode")
+    values = pairs["lambda"].to_numpy()
+    got = spectrum.moments(lap, 3).first()
+    assert np.allclose([got["m1"], got["m2"], got["m3"]], [(values**p).sum() for p in (1, 2, 3)])
+    assert np.allclose(list(spectrum.moments(lap).first())[1:], [values.sum(), (values**2).sum()])
+    y = city.select("network", "node_id", "y")
+    own = y.toPandas().set_index("node_id").y
+    want = float((own.to_numpy() ** 2).sum())
+    for limit in (10, 10_000):
+        monkeypatch.setattr(spectrum, "DENSE", limit)
+        c = spectrum.coefficients(lap, y).toPandas().sort_values("mode").reset_index(drop=True)
+        assert np.allclose(c["lambda"], values, atol=1e-9) and abs((c.c**2).sum() / want - 1) < 1e-9
+        sums = [abs(float(np.array(p) @ own.loc[list(i)].to_numpy())) for p, i in zip(pairs.psi, pairs.node_ids, strict=True)]
+        assert np.allclose(c.c.abs()[values > 1e-6], np.array(sums)[values > 1e-6], atol=1e-7)
+    assert abs(bound.r2_of_coefficients(spectrum.coefficients(lap, y), y).first()["r2"] - 1) < 1e-9
+
+
+def test_header_is_the_summary_without_its_statistics(made):
+    head, whole = made.header().first(), made.summary().first()
+    assert all(head[c] == whole[c] for c in ("network", "n", "sigma", "k_nn", "graph_type", "has_features", "has_target")) and abs(head["lambda_min"] - whole["lambda_min"]) < 1e-9
+
+
+def test_queries_of_some_modes_ask_for_those_only(spark, monkeypatch):
+    from lattice_spectra.plans import catalogue
+
+    asked = []
+    real = spectrum.spectral_decomposition
+    monkeypatch.setattr(spectrum, "spectral_decomposition", lambda lap, k=None, *a, **how: asked.append(k) or real(lap, k, *a, **how))
+    for name in ("select_k_modes", "ceiling_curve", "select_k_fixed", "eigs_moments", "eigs_cube_moment", "dirichlet_by_modes", "r2_full_basis"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [64, 64, 16]
+
+
 def test_partial_pairs_by_either_way(city, made, monkeypatch):
     lap = laplacian.symmetric_normalised(made.weights, city)
     full = {r["mode"]: r["lambda"] for r in made.pairs.collect()}
