@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rbf, scaled
+from ..functions.scratch import cut
 from . import bound, knn, laplacian, spectrum
 
 PROTOCOLS = ("transductive", "inductive")
@@ -165,12 +166,13 @@ def augmented_folds(nodes: DataFrame, k: int = 16, k_nn: int = 6, sigma: float |
             modes = modes.withColumn("psi", scaled("psi", ["network", "mode"]))
         return _with_modes(each, modes, k, ["network"])
     by = ["network", "fold"]
+    each = cut(each)  # graphs, modes, neighbours and rows read it
     train, test = each.where("not is_test"), each.where("is_test")
     modes, widths = _first_modes(train, k, k_nn, sigma, graph_type, by)
     if standardise:
         modes = modes.withColumn("psi", scaled("psi", [*by, "mode"]))
-    modes = modes.persist()
-    near = knn.knn_between(test, train, k_nn, graph_type, by)
+    modes = cut(modes)
+    near = cut(knn.knn_between(test, train, k_nn, graph_type, by))
     return _with_modes(each, modes.unionByName(nystrom_extend(modes, near, widths, by)), k, by)
 
 
@@ -185,8 +187,8 @@ def cross_validate(nodes: DataFrame, features: Sequence[str], k: int = 16, n_fol
     ``scoring(y, yhat)`` replaces r2.
     """
     by = ["network", "fold"]
-    folded = nodes if "fold" in nodes.columns else kfold(nodes, n_folds, seed)
-    rows = augmented_folds(folded, k, k_nn, sigma, graph_type, standardise, protocol).persist()
+    folded = cut(nodes if "fold" in nodes.columns else kfold(nodes, n_folds, seed))
+    rows = cut(augmented_folds(folded, k, k_nn, sigma, graph_type, standardise, protocol))
     modes = [f"mode_{i}" for i in range(k)]
     wide = [*features, *modes]
 

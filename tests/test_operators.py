@@ -549,3 +549,25 @@ def test_feature_neighbours_in_blocks_equal_brute_force(spark, monkeypatch):
             d = np.sqrt(((x[:n] - x[i]) ** 2).sum(axis=1))
             best = [j for j in np.lexsort((np.arange(n), d)) if j != i][:5]
             assert [got.get((name, i, r + 1)) for r in range(5)] == [*best, *[None] * (5 - len(best))]
+
+
+def test_neighbours_within_one_task_equal_pairwise(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 4)
+    rng = np.random.default_rng(11)
+    rows = [("pole", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(88, 90, 90), rng.uniform(-180, 180, 90), strict=True))]
+    rows += [("line", i, 10.0, float(x)) for i, x in enumerate(rng.uniform(-180, 180, 90))]
+    rows += [("places", i, float(i % 3), 1.0) for i in range(90)] + [("two", 0, 1.0, 1.0), ("two", 1, 1.0, 2.0), ("one", 0, 1.0, 1.0)]
+    box = spark.createDataFrame(rows, "network string, node_id long, lat double, lng double")
+    key = lambda df: sorted((r["network"], r["src"], r["rk"], r["dst"], r["d"]) for r in df.collect())
+    assert key(knn.knn_geographic(box, 7, method="within")) == key(knn.knn_geographic(box, 7, method="pairwise"))
+    train, test = box.where("node_id % 3 > 0"), box.where("node_id % 3 = 0 or node_id = 1")
+    want = key(knn.knn_between(test, train, 5))
+    monkeypatch.setattr(knn, "BETWEEN", 0)
+    monkeypatch.setattr(knn, "_grid", None)
+    assert key(knn.knn_between(test, train, 5)) == want
+
+
+def test_inductive_rows_have_a_short_plan(city):
+    rows = predictor.cross_validate(city, ["x1", "x2"], 4, protocol="inductive")[1]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan
