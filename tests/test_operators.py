@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lattice_spectra.operators import bound, compare, distance, inference, knn, laplacian, localize, plotdata, predictor, profile, resample, spectrum
+from lattice_spectra.operators import bound, compare, distance, inference, knn, laplacian, localize, plotdata, predictor, profile, resample, slices, spectrum
 from lattice_spectra.sources import nodes as sources
 from lattice_spectra.sources import sinks
 
@@ -571,3 +571,25 @@ def test_inductive_rows_have_a_short_plan(city):
     rows = predictor.cross_validate(city, ["x1", "x2"], 4, protocol="inductive")[1]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan
+
+
+def test_control_spectra_are_made_once(cities):
+    found = resample.control_similarities(cities, (("base", None, None, 6), ("C", None, None, 8)))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_hold_inverses_only(monkeypatch):
+    rows, cols, values = (np.array(x) for x in zip(*[(i, j, 2.0 if i == j else -1.0) for i in range(400) for j in (i - 1, i, i + 1) if 0 <= j < 400], strict=True))
+    blocks = slices.Blocks(rows, cols, values, 400)
+    size = np.diff(blocks.ends)
+    assert blocks.weight() == 8 * ((size * size).sum() + (size[1:] * size[:-1]).sum())
+    x = np.random.default_rng(1).standard_normal((400, 3))
+    kept = blocks.inverse(0.31)(x)
+    monkeypatch.setattr(slices, "KEPT", 0)
+    assert np.allclose(kept, blocks.inverse(0.31)(x)) and np.allclose(np.concatenate([v for v, _ in slices.slices(blocks)]), 2 - 2 * np.cos(np.pi * np.arange(1, 401) / 401))
+
+
+def test_all_pairs_are_dealt_into_parts(spark):
+    box = sources.uniform_box(spark, "box", 40, 1)
+    pairs = knn.pairs_geographic(box)
+    assert pairs.count() == 40 * 39 and "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
