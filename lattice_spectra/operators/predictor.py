@@ -159,21 +159,21 @@ def augmented_folds(nodes: DataFrame, k: int = 16, k_nn: int = 6, sigma: float |
     if protocol not in PROTOCOLS:
         raise ValueError(f"protocol must be one of {PROTOCOLS}")
     folds = nodes.select("network", F.col("fold").alias("_f")).distinct()
-    each = nodes.join(folds, "network").withColumn("is_test", F.col("fold") == F.col("_f")).drop("fold").withColumnRenamed("_f", "fold")
+    repeated = lambda df: df.join(folds, "network").withColumn("is_test", F.col("fold") == F.col("_f")).drop("fold").withColumnRenamed("_f", "fold")
     if protocol == "transductive":
         modes, _ = _first_modes(nodes.drop("fold"), k, k_nn, sigma, graph_type, ["network"])
         if standardise:
             modes = modes.withColumn("psi", scaled("psi", ["network", "mode"]))
-        return _with_modes(each, modes, k, ["network"])
+        return repeated(cut(_with_modes(nodes, modes, k, ["network"])))  # a node's row is kept once, not for each fold
     by = ["network", "fold"]
-    each = cut(each)  # graphs, modes, neighbours and rows read it
+    each = cut(repeated(nodes))  # graphs, modes, neighbours and rows read it
     train, test = each.where("not is_test"), each.where("is_test")
     modes, widths = _first_modes(train, k, k_nn, sigma, graph_type, by)
     if standardise:
         modes = modes.withColumn("psi", scaled("psi", [*by, "mode"]))
     modes = cut(modes)
     near = cut(knn.knn_between(test, train, k_nn, graph_type, by))
-    return _with_modes(each, modes.unionByName(nystrom_extend(modes, near, widths, by)), k, by)
+    return cut(_with_modes(each, modes.unionByName(nystrom_extend(modes, near, widths, by)), k, by))
 
 
 def cross_validate(nodes: DataFrame, features: Sequence[str], k: int = 16, n_folds: int = 5, seed: int = 42, alpha: float | None = 1.0, estimator=None, scoring: Callable | None = None, protocol: str = "transductive", k_nn: int = 6, sigma: float | str | None = "auto", graph_type: str = "geographic", standardise: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +188,7 @@ def cross_validate(nodes: DataFrame, features: Sequence[str], k: int = 16, n_fol
     """
     by = ["network", "fold"]
     folded = cut(nodes if "fold" in nodes.columns else kfold(nodes, n_folds, seed))
-    rows = cut(augmented_folds(folded, k, k_nn, sigma, graph_type, standardise, protocol))
+    rows = augmented_folds(folded, k, k_nn, sigma, graph_type, standardise, protocol)
     modes = [f"mode_{i}" for i in range(k)]
     wide = [*features, *modes]
 

@@ -593,3 +593,41 @@ def test_all_pairs_are_dealt_into_parts(spark):
     box = sources.uniform_box(spark, "box", 40, 1)
     pairs = knn.pairs_geographic(box)
     assert pairs.count() == 40 * 39 and "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("which", ["smallest", "largest"])
+def test_dissection_gives_the_end_of_a_grid(which, monkeypatch):
+    from lattice_spectra.operators import dissection
+
+    made = []
+    fronts = dissection.Fronts.lowest
+    monkeypatch.setattr(dissection.Fronts, "lowest", lambda self, k: made.append(fronts(self, k)) or made[-1])
+    monkeypatch.setattr(spectrum, "FACTORS", 64 << 20)  # slices of this grid would be over it
+    a, b = 101, 97
+    at = np.arange(a * b).reshape(a, b)
+    i, j = np.concatenate([at[1:].ravel(), at[:, 1:].ravel()]), np.concatenate([at[:-1].ravel(), at[:, :-1].ravel()])
+    degree = np.bincount(np.r_[i, j], minlength=a * b)
+    rows, cols = np.r_[i, j, at.ravel()], np.r_[j, i, at.ravel()]
+    values, psi = spectrum.sparse_eigen(rows, cols, np.r_[-np.ones(2 * len(i)), degree], a * b, 12, which)
+    whole = np.sort((2 - 2 * np.cos(np.pi * np.arange(a) / a))[:, None] + 2 - 2 * np.cos(np.pi * np.arange(b) / b), axis=None)
+    assert len(made) == 1 and made[0] is not None and np.allclose(values, whole[:12] if which == "smallest" else whole[-12:], atol=1e-9) and np.allclose(psi.T @ psi, np.eye(12), atol=1e-8)
+
+
+def test_dissection_keeps_halves_apart_and_counts():
+    from lattice_spectra.operators import dissection
+
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 2))
+    i, j = knn.nearest_places(x, np.arange(600), x, np.arange(600), 4, True)
+    hub = np.arange(1, 300)
+    i, j = np.r_[i, np.zeros(299, int)], np.r_[j, hub]  # and a star
+    matrix = np.zeros((600, 600))
+    matrix[i, j] = matrix[j, i] = -1
+    matrix[np.diag_indices(600)] = -matrix.sum(axis=1)
+    rows, cols = np.nonzero(matrix)
+    fronts = dissection.Fronts(rows, cols, matrix[rows, cols], 600)
+    values = np.linalg.eigvalsh(matrix)
+    assert sorted(fronts.order) == list(range(600)) and [fronts.count(s) for s in (-0.1, 0.7, 5.3)] == [(values < s).sum() for s in (-0.1, 0.7, 5.3)]
+    y = rng.standard_normal((600, 3))
+    assert np.allclose((matrix + 0.5 * np.eye(600)) @ (out := np.empty_like(y), out.__setitem__(fronts.order, fronts.inverse(-0.5)(y[fronts.order])))[0], y) and fronts.inverse(0.5) is None
+    assert np.allclose(fronts.lowest(9)[0], values[:9], atol=1e-9)
