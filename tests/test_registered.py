@@ -61,3 +61,8 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 5
+
+
+def test_nystrom_extend_counts_orders_once(spark):
+    plan = QUERIES["nystrom_extend"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_custkey" not in plan
