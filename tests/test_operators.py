@@ -229,6 +229,25 @@ def test_moments_and_coefficients_are_those_of_the_eigenpairs(city, made, monkey
     assert abs(bound.r2_of_coefficients(spectrum.coefficients(lap, y), y).first()["r2"] - 1) < 1e-9
 
 
+def test_energies_are_sums_over_all_modes(city, made, spark):
+    lap = laplacian.symmetric_normalised(made.weights, city)
+    y = city.where("node_id <> 7").select("network", "node_id", F.when(F.col("node_id") != 9, F.col("y")).alias("y"))
+    y = y.unionByName(spark.createDataFrame([("city", 3, 2.5), ("city", 999, 4.0), ("none", 1, 1.0)], y.schema))  # twice, without a node, without a network
+    c = spectrum.coefficients(lap, y).toPandas()
+    got = spectrum.energies(lap, y).collect()
+    assert len(got) == 1 and got[0]["network"] == "city" and np.allclose([got[0]["e0"], got[0]["e1"]], [(c.c**2).sum(), (c["lambda"] * c.c**2).sum()])
+    r2 = lambda df: {r["network"]: round(r["r2"], 9) for r in df.collect()}
+    assert r2(bound.r2_of_energies(spectrum.energies(lap, y), y)) == r2(bound.r2_of_coefficients(spectrum.coefficients(lap, y), y))
+
+
+@pytest.mark.parametrize("name", ["dirichlet_by_modes", "r2_full_basis"])
+def test_queries_of_sums_over_all_modes_need_no_eigenpairs(spark, name):
+    from lattice_spectra.plans import catalogue
+
+    found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_header_is_the_summary_without_its_statistics(made):
     head, whole = made.header().first(), made.summary().first()
     assert all(head[c] == whole[c] for c in ("network", "n", "sigma", "k_nn", "graph_type", "has_features", "has_target")) and abs(head["lambda_min"] - whole["lambda_min"]) < 1e-9
