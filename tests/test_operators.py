@@ -608,6 +608,17 @@ def test_slices_hold_inverses_only(monkeypatch):
     assert np.allclose(kept, blocks.inverse(0.31)(x)) and np.allclose(np.concatenate([v for v, _ in slices.slices(blocks)]), 2 - 2 * np.cos(np.pi * np.arange(1, 401) / 401))
 
 
+def test_slices_take_few_factorisations(monkeypatch):
+    n = 1200
+    rows, cols, values = (np.array(x) for x in zip(*[(i, j, 2.0 if i == j else -1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n], strict=True))
+    made = []
+    real = slices.Blocks.inverse
+    monkeypatch.setattr(slices.Blocks, "inverse", lambda self, shift: made.append(shift) or real(self, shift))
+    found = list(slices.slices(slices.Blocks(rows, cols, values, n)))
+    x = np.concatenate([x for _, x in found], axis=1)
+    assert len(made) <= 10 and np.allclose(np.concatenate([v for v, _ in found]), 2 - 2 * np.cos(np.pi * np.arange(1, n + 1) / (n + 1))) and np.abs(x.T @ x - np.eye(n)).max() < 1e-7
+
+
 def test_all_pairs_are_dealt_into_parts(spark):
     box = sources.uniform_box(spark, "box", 40, 1)
     pairs = knn.pairs_geographic(box)
