@@ -625,6 +625,15 @@ def test_all_pairs_are_dealt_into_parts(spark):
     assert pairs.count() == 40 * 39 and "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_all_pairs_come_by_parts_of_both_sides(spark):
+    n = 640
+    box = sources.uniform_box(spark, "a", n, 1).unionByName(sources.uniform_box(spark, "b", n, 2))
+    pairs = knn.pairs_geographic(box).select("network", "src", "dst", F.spark_partition_id().alias("task")).toPandas()
+    assert len(pairs) == 2 * n * (n - 1) and not pairs.duplicated(["network", "src", "dst"]).any() and (pairs.src != pairs.dst).all()
+    others = pairs.groupby(["task", pairs.index // 400]).dst.nunique()  # 400 rows of a node that met all others would have 400
+    assert others.median() < 120
+
+
 @pytest.mark.parametrize("which", ["smallest", "largest"])
 def test_dissection_gives_the_end_of_a_grid(which, monkeypatch):
     from lattice_spectra.operators import dissection
